@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, source_mixing, token_output
 
 _QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_source_mixing": source_mixing.op8_source_mixing,
+    "op9_token_output": token_output.op9_token_output,
 }
 _SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
