@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, source_mixing, token_output
+from . import fm_decontamination, quality_rules, simhash_pivots, source_mixing, token_output
 
 _QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_fm_decontamination": fm_decontamination.op6_fm_decontamination,
+    "op7_simhash_pivots": simhash_pivots.op7_simhash_pivots,
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_token_output": token_output.op9_token_output,
 }
 _SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_fm_decontamination": fm_decontamination.ORACLE_SQL,
 }
 
 
