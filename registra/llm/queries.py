@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fm_decontamination, quality_rules, simhash_pivots, source_mixing, token_output
+from . import fm_decontamination, license_join, quality_rules, simhash_pivots, source_mixing, token_output
 
 _QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
@@ -10,10 +10,12 @@ _QUERIES = {
     "op7_simhash_pivots": simhash_pivots.op7_simhash_pivots,
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_token_output": token_output.op9_token_output,
+    "op10_license_join": license_join.op10_license_join,
 }
 _SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op6_fm_decontamination": fm_decontamination.ORACLE_SQL,
+    "op10_license_join": license_join.ORACLE_SQL,
 }
 
 
