@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import fm_decontamination, license_join, quality_rules, simhash_pivots, source_mixing, token_output
+from . import (
+    fm_decontamination,
+    license_join,
+    preference_format,
+    quality_rules,
+    simhash_pivots,
+    source_mixing,
+    token_output,
+    warc,
+)
 
 _QUERIES = {
+    "op1_preference_format": preference_format.op1_preference_format,
+    "op2_warc": warc.op2_warc,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_fm_decontamination": fm_decontamination.op6_fm_decontamination,
     "op7_simhash_pivots": simhash_pivots.op7_simhash_pivots,
@@ -13,6 +24,8 @@ _QUERIES = {
     "op10_license_join": license_join.op10_license_join,
 }
 _SQL = {
+    "op1_preference_format": preference_format.ORACLE_SQL,
+    "op2_warc": warc.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op6_fm_decontamination": fm_decontamination.ORACLE_SQL,
     "op10_license_join": license_join.ORACLE_SQL,
