@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    bwt_dedup,
     fm_decontamination,
     license_join,
     preference_format,
@@ -17,6 +18,7 @@ _QUERIES = {
     "op1_preference_format": preference_format.op1_preference_format,
     "op2_warc": warc.op2_warc,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_bwt_dedup": bwt_dedup.op5_bwt_dedup,
     "op6_fm_decontamination": fm_decontamination.op6_fm_decontamination,
     "op7_simhash_pivots": simhash_pivots.op7_simhash_pivots,
     "op8_source_mixing": source_mixing.op8_source_mixing,
