@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 MAGIC = b"RGV1"
 _MEMO: dict[str, dict[str, bytes]] = {}
-_MEMO_ENTRIES = 400_000
+_MEMO_ENTRIES = 700_000
 _MEMO_CHARS = 64
 #: Anything but single blanks and newlines between visible characters.
 _IRREGULAR = re.compile(
@@ -43,6 +43,16 @@ _IRREGULAR = re.compile(
     r"　﻿]|[ \n][ \n]|\A[ \n]|[ \n]\Z"
 )
 
+#: Bytes of visible characters that need no closer look: ASCII, then letters of two and three bytes.
+_PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xD8), *range(0xE4, 0xEA)])
+
+
+def irregular(text: str) -> bool:
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return bool(text.encode().translate(None, _PLAIN)) and _IRREGULAR.search(text) is not None
+
+
 #: By control byte: the lengths of its four values.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 
@@ -57,26 +67,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = _MEMO.setdefault(path, {})
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in done]
+        kind = type(self.tokenizer.pre_tokenizer).__name__
+        #: Pieces may be encoded alone: a byte-level vocabulary that changes no character.
+        self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None and len(self._whole("\n")) == 4
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces without blanks (but a first one) and newlines, and remember their ids. They go to
+        the library a few thousand at a time with a newline between them, whose id is theirs alone."""
+        memo, cores = self.memo, set()
+        ended = [x for x in pieces if len(x) > 2 and x[-1] in ".," and x[-2].isalnum()]
+        for x in ended:
+            if x[:-1] not in memo:
+                cores.add(x[:-1])
+        marks = {".", ",", "\n"}.difference(memo)
+        plain = [*cores, *marks.difference(["\n"]), *set(pieces).difference(ended, cores, marks)]
+        if "\n" not in memo:
+            memo["\n"] = self._whole("\n")
+        newline = np.frombuffer(memo["\n"], "<u4")[0]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == newline), len(ids))
+            raw, a = ids.tobytes(), 0
+            for x, b in zip(part, (4 * ends).tolist(), strict=True):
+                memo[x] = raw[a:b]
+                a = b + 4
+        for x in ended:
+            memo[x] = memo[x[:-1]] + memo[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo, cut, whole = self.memo, {}, []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _IRREGULAR.search(text) or any(s in text for s in self.special):
+            if not self.cuts or irregular(text) or any(s in text for s in self.special):
                 whole.append(k)
             else:
                 cut[k] = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         if len(memo) > _MEMO_ENTRIES:
             memo.clear()
         new = list(set().union(*cut.values()).difference(memo)) if cut else []
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            memo.update(zip(part, self._ids(part), strict=True))
+        if new:
+            self._learn(new)
         out = [b""] * len(texts)
         for k, pieces in cut.items():
             out[k] = b"".join(map(memo.__getitem__, pieces))
@@ -84,17 +119,18 @@ class Encoder:
             if len(x) > _MEMO_CHARS:
                 del memo[x]
         for k in whole:
-            out[k] = self._ids([texts[k]])[0]
+            out[k] = self._whole(texts[k])
         return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rank table, control bytes and data bytes of ids."""
-    found, place, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -n))
-    rank = np.empty(len(found), "<u4")
-    rank[order] = np.arange(len(found), dtype="<u4")
-    values = rank[place]
+    n = np.bincount(ids)
+    found = np.flatnonzero(n)
+    order = np.lexsort((found, -n[found]))
+    rank = np.zeros(len(n), "<u4")
+    rank[found[order]] = np.arange(len(found), dtype="<u4")
+    values = rank[ids]
     size = (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
     four = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     four[: len(values)] = size
