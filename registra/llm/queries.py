@@ -6,6 +6,7 @@ from . import (
     bwt_dedup,
     fm_decontamination,
     license_join,
+    maxent_lm,
     preference_format,
     quality_rules,
     simhash_pivots,
@@ -17,6 +18,7 @@ from . import (
 _QUERIES = {
     "op1_preference_format": preference_format.op1_preference_format,
     "op2_warc": warc.op2_warc,
+    "op3_maxent_lm": maxent_lm.op3_maxent_lm,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_bwt_dedup": bwt_dedup.op5_bwt_dedup,
     "op6_fm_decontamination": fm_decontamination.op6_fm_decontamination,

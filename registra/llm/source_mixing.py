@@ -30,7 +30,7 @@ from .common import WORD
 
 SEED = 20_240_607
 MOST = 3
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 262_144
 #: Blocks have a 131,072nd of all words, between 1 and 1,024.
 BLOCKS, LARGEST_BLOCK = 131_072, 1_024
 
