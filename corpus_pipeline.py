@@ -8,7 +8,6 @@ folder and reads it again, so that a lost executor costs a stage's tasks and not
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from registra.llm import fm_decontamination, quality_rules, simhash_pivots, source_mixing, token_output
 from registra.llm.common import prepare, table, tokenizer_path, written
@@ -18,10 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents, with their failing lines removed."""
-    judged = quality_rules.judge(docs.select(*COLUMNS)).filter("kept")
-    return judged.select(
-        "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("bigint").alias("n_chars")
-    )
+    return quality_rules.clean(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,6 +184,19 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     return df.select(*[F.col("_row").getField(c).alias(c) for c in others], *own)
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """Kept rows of docs, the cleaned text as text, n_chars (if there) following it.
+
+    The filter must stay above the projections: pushed down, each of its nested lambdas would compute the
+    arrays that they look at anew. A column that isn't deterministic holds it there.
+    """
+    judged = judge(docs).withColumn("_here", F.monotonically_increasing_id())
+    kept = judged.filter(F.col("kept") & (F.col("_here") >= 0)).withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast("bigint"))
+    return kept.select(*docs.columns)
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
