@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CAS = r"^\d{2,7}-\d{2}-\d$"
 CAS_ANYWHERE = r"\d{2,7}-\d{2}-\d"
@@ -47,7 +48,7 @@ def fold_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_accents()), r"[̀-ͯ]", "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkd(s):
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 
@@ -162,10 +163,10 @@ def cat_fold(c: Column) -> Column:
 
 def code_parts(c: Column, known: Column) -> Column:
     """Parts of a code cell: cut at / , + and at dots where every dotted part is in known (an array)."""
-    hard = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[/,+]"), F.trim), lambda x: x != "")
+    hard = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[/,+]"), lambda x: F.trim(x)), lambda x: x != "")
 
     def dotted(p: Column) -> Column:
-        parts = F.transform(F.split(p, r"\."), F.trim)
+        parts = F.transform(F.split(p, r"\."), lambda x: F.trim(x))
         cut = F.contains(p, F.lit(".")) & F.forall(parts, lambda x: F.array_contains(known, x))
         return F.when(cut, F.filter(parts, lambda x: x != "")).otherwise(F.array(p))
 

@@ -40,8 +40,8 @@ def verdicts(queries: DataFrame, register: DataFrame) -> DataFrame:
 def per_source(judged: DataFrame, register: DataFrame) -> DataFrame:
     """qid, source_key, verdict, entries, ambiguous: more than one first identifier, and more than one entry
     at the deciding level (exact if there are any, else probable)."""
-    cell = F.element_at(T.parse_cas_cell(F.col("cas")), 1)["cas"]
-    rows = judged.join(register.select("row_id", F.when(F.size(T.parse_cas_cell(F.col("cas"))) > 0, cell).alias("c")), "row_id")
+    cell = F.get(T.parse_cas_cell(F.col("cas")), F.lit(0))["cas"]
+    rows = judged.join(register.select("row_id", cell.alias("c")), "row_id")
     out = rows.groupBy("qid", "source_key").agg(
         F.max("level").alias("level"), F.count(F.lit(1)).alias("entries"), F.countDistinct("c").alias("kinds"),
         F.count_if(F.col("level") == 3).alias("exacts"), F.count_if(F.col("level") == 2).alias("probables"),
@@ -54,7 +54,7 @@ def per_source(judged: DataFrame, register: DataFrame) -> DataFrame:
 def cas_verdict(queries: DataFrame, register: DataFrame) -> DataFrame:
     """qid, cas, source_key, row_id, verdict: exact only if both check digits hold."""
     stored = register.select("source_key", "row_id", F.explode(T.parse_cas_cell(F.col("cas"))).alias("x"))
-    q = queries.select("qid", F.element_at(T.parse_cas_cell(F.col("q")), 1).alias("a"))
+    q = queries.select("qid", F.get(T.parse_cas_cell(F.col("q")), F.lit(0)).alias("a"))
     both = q.join(stored, F.col("a.cas") == F.col("x.cas"))
     sure = F.coalesce(F.col("a.checksum_ok") & F.col("x.checksum_ok"), F.lit(False))
     return both.select("qid", F.col("a.cas").alias("cas"), "source_key", "row_id", F.when(sure, "exact").otherwise("probable").alias("verdict")).distinct()
@@ -180,7 +180,7 @@ def match_kinds(found: DataFrame, queries: DataFrame, shared: DataFrame) -> Data
 
 def dissected_status(source: Column, status: Column, raw: Column, expiry: Column, as_of: Column) -> Column:
     """struct<key, tone> of a row's status."""
-    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     some = lambda w: F.exists(parts, lambda x: x.startswith(w))
     every = lambda w: F.forall(parts, lambda x: x.startswith(w))
     day = F.when(F.trim(expiry).rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(F.trim(expiry), "dd/MM/yyyy"))

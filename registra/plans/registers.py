@@ -58,7 +58,7 @@ def gaps(rows: DataFrame, number: str) -> DataFrame:
 
 def checksum_audit(register: DataFrame) -> DataFrame:
     """Per source: rows, well_formed, failing, malformed."""
-    cells = F.filter(F.transform(F.split(F.coalesce("cas", F.lit("")), r"[\n\[\]]"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split(F.coalesce("cas", F.lit("")), r"[\n\[\]]"), lambda x: F.trim(x)), lambda x: x != "")
     each = register.select("source_key", "row_id", F.explode_outer(cells).alias("c"))
     good = F.col("c").rlike(T.CAS)
     return each.groupBy("source_key").agg(
