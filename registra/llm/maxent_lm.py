@@ -15,8 +15,8 @@ Tokens are a text's words (A-Z lower-cased) and one end. The model predicts a to
   weighted by how many tokens touched the row. All training documents are used, each in one round.
 
 The weights have a fixed size (HASH rows), and reach the driver. Counts of all training words stay in a
-table; only the FREQUENT first ranks (a fixed number) are sent to the tasks, and the rest of the tokens are
-joined with the table. Words are counted by 64-bit hashes.
+table; only the most frequent, at most FREQUENT (a fixed number), are sent to the tasks, and the rest of the
+tokens are joined with the table. Words are counted by 64-bit hashes.
 
 Defined results: null and empty texts are one end; a null id counts as the empty string for the split;
 repeated rows are learned and scored each; without training documents all tokens are unknown; extra
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, partitions, prepare, table, utf8, written
 
 FREQUENT = 1 << 19
+LEVELS = 4096
 WIDE = 32
 HEAD = 31 * WIDE
 TAILS = 32
@@ -99,10 +100,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """What tasks need of the training counts; ranks run by falling count, then hash."""
 
-    def __init__(self, frequent: list, n: int, kinds: int, ends: int, masses: dict[int, int]):
-        hashes = np.array([x.w for x in frequent], np.int64)
-        self.counts = np.array([x.c for x in frequent], np.int64)
-        self.tails = np.array([x.tail for x in frequent], np.int8)
+    def __init__(self, frequent: pa.Table, n: int, kinds: int, ends: int, masses: dict[int, int]):
+        hashes, tails, found = (frequent.column(x).to_numpy() for x in ("w", "tail", "c"))
+        order = np.lexsort((hashes, -found))
+        hashes, self.tails, self.counts = hashes[order], tails[order].astype(np.int8), found[order]
         self.by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.by_hash]
         self.n, self.kinds, self.ends = n, kinds, ends
@@ -281,7 +282,15 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     masses = {x.tail: x.c for x in counts.groupBy("tail").agg(F.sum("c").alias("c")).collect()}
-    frequent = counts.orderBy(F.desc("c"), "w").limit(FREQUENT).collect()
+    # The least count with at most FREQUENT words at or above it, from a histogram of LEVELS counts.
+    levels = counts.groupBy(F.least("c", F.lit(LEVELS)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    words, cut = 0, LEVELS + 1
+    for x in sorted(levels, key=lambda x: -x.c):
+        words += x.n
+        if words > FREQUENT:
+            break
+        cut = x.c
+    frequent = counts.filter(F.col("c") >= cut).select("w", "tail", "c").toArrow()
     return Vocabulary(frequent, (total.n or 0) + ends, total.v + (ends > 0), ends, masses)
 
 
