@@ -165,15 +165,18 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     df = df.withColumn("_lines", F.filter(lines, lambda x: x["n"] > 0))
     all_lines = F.transform(F.col("_lines"), lambda x: x["line"])
     clean = F.array_join(F.transform(F.filter(F.col("_lines"), _line_passes), lambda x: x["line"]), "\n")
-    df = df.select(
-        "_row",
+    facts = F.struct(
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
         _count_of(F.col("_t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct(all_lines))).cast("bigint").alias("n_dup_lines"),
         _covered(F.col("_starts")).alias("n_repeat_words"),
         clean.alias("clean_text"),
+        # Filters on results must stay above the projections: pushed down, nested lambdas would compute the
+        # arrays that they look at anew for every element. A value that isn't deterministic holds them.
+        F.monotonically_increasing_id().alias("here"),
     )
+    df = df.select("_row", facts.alias("_facts")).select("_row", "_facts.*").drop("here")
     df = df.withColumn("n_kept_words", F.regexp_count("clean_text", F.lit(WORD)).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -185,13 +188,8 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Kept rows of docs, the cleaned text as text, n_chars (if there) following it.
-
-    The filter must stay above the projections: pushed down, each of its nested lambdas would compute the
-    arrays that they look at anew. A column that isn't deterministic holds it there.
-    """
-    judged = judge(docs).withColumn("_here", F.monotonically_increasing_id())
-    kept = judged.filter(F.col("kept") & (F.col("_here") >= 0)).withColumn("text", F.col("clean_text"))
+    """Kept rows of docs, the cleaned text as text, n_chars (if there) following it."""
+    kept = judge(docs).filter("kept").withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("bigint"))
     return kept.select(*docs.columns)
