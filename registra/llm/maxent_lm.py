@@ -187,27 +187,67 @@ class Tokens:
         return [row(one, zero, 0), row(two, zero, 1), row(one, two, 2)]
 
 
+PIECE = 1 << 11  # rows whose class scores are in hand at a time, so that they stay in the processor's cache
+
+
+def _exponents(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    x = np.take(w, rows[0], axis=0)
+    x += np.take(w, rows[1], axis=0)
+    x += np.take(w, rows[2], axis=0)
+    x += bias
+    return x
+
+
 def softmax(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
     """Log probabilities."""
-    x = w[rows[0]]
-    x += w[rows[1]]
-    x += w[rows[2]]
-    x += bias
+    x = _exponents(w, rows, bias)
     x -= x.max(axis=1, keepdims=True)
     x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
     return x
 
 
+def log_shares(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probabilities of y alone; bias: one for all rows or one a row."""
+    out = np.empty(len(y), np.float32)
+    for a in range(0, len(y), PIECE):
+        at = slice(a, a + PIECE)
+        own = bias if bias.ndim == 1 else bias[at]
+        x = _exponents(w, [r[at] for r in rows], own)
+        hit = x[np.arange(len(x)), y[at]]
+        np.exp(x, out=x)
+        total = x.sum(axis=1)
+        if np.isfinite(total).all():
+            out[at] = hit - np.log(total)
+        else:
+            p = softmax(w, [r[at] for r in rows], own)
+            out[at] = p[np.arange(len(p)), y[at]]
+    return out
+
+
+def _shares(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Probabilities, piece by piece."""
+    out = np.empty((len(rows[0]), w.shape[1]), np.float32)
+    for a in range(0, len(out), PIECE):
+        at = slice(a, a + PIECE)
+        own = bias if bias.ndim == 1 else bias[at]
+        x = _exponents(w, [r[at] for r in rows], own)
+        np.exp(x, out=x)
+        total = x.sum(axis=1, keepdims=True)
+        x = x / total if np.isfinite(total).all() else np.exp(softmax(w, [r[at] for r in rows], own))
+        out[at] = x
+    return out
+
+
 def step(w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
     """An Adagrad step on a mini-batch, in place."""
-    p = np.exp(softmax(w, rows, bias))
+    p = _shares(w, rows, bias)
     p[np.arange(len(y)), y] -= 1
     for r in rows:
         order = np.argsort(r.astype(np.uint16), kind="stable")
         s = r[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         own = s[first]
-        g = np.add.reduceat(p[order], first, axis=0)
+        g = np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
         n = np.diff(np.append(first, len(s)))
         g /= np.sqrt(n)[:, None]
         squares[own] += (g * g).mean(axis=1)
@@ -327,16 +367,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 own = texts[a : a + 32]
                 t = Tokens(v, [np.fromiter(map(memo.__getitem__, w), np.int32, len(w)) for w in own])
                 n = len(t.code)
-                lm = np.empty(n)
-                for i in range(0, n, BATCH):
-                    at = slice(i, i + BATCH)
-                    p = softmax(outer, t.features(at), v.prior)
-                    lm[at] = p[np.arange(len(p)), t.group[at]] * log
-                    head = np.flatnonzero(t.head[at]) + i
-                    if len(head):
-                        group = t.group[head] - 1
-                        p = softmax(inner, t.features(head, group + 1), v.inner[group])
-                        lm[head] += p[np.arange(len(p)), t.code[head] % WIDE] * log
+                at = slice(0, n)
+                lm = log_shares(outer, t.features(at), v.prior, t.group) * np.float64(log)
+                head = np.flatnonzero(t.head)
+                if len(head):
+                    group = t.group[head] - 1
+                    lm[head] += log_shares(inner, t.features(head, group + 1), v.inner[group], t.code[head] % WIDE) * np.float64(log)
                 lm += rest
                 end, rare = t.code == END, t.code < 0
                 tail = ~(end | rare | t.head)
