@@ -75,6 +75,8 @@ def union(registers: list[DataFrame]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True, sep: str = ",", comment: str | None = None) -> DataFrame:
+    if encoding.lower() not in {"utf-8", "utf-16", "utf-32", "us-ascii", "iso-8859-1"}:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the other charsets that the JVM knows
     reader = spark.read.option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"')
     reader = reader.option("encoding", encoding).option("sep", sep)
     return (reader.option("comment", comment) if comment else reader).csv(path)

@@ -67,8 +67,8 @@ def test_streams(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
-    def run(out, mode, name):
-        q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    def run(out, mode, name, **trigger):
+        q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(**(trigger or {"availableNow": True})).start()
         q.awaitTermination()
         return spark.table(name).collect()
 
@@ -77,4 +77,4 @@ def test_streams(spark, tmp_path):
     reads = spark.createDataFrame([(1, 1, 0, "a", 50.0), (1, 2, 100, "a", 60.0), (1, 3, 200, "b", 99.0)], "scan_id long, read long, at_ms long, cas string, conf double")
     reads.coalesce(1).write.parquet(str(tmp_path / "reads"))
     stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "reads"))
-    assert [(x.scan_id, x.read, x.votes) for x in run(usage.live_votes(stream), "update", "votes")] == [(1, 2, 2)]
+    assert [(x.scan_id, x.read, x.votes) for x in run(usage.live_votes(stream), "update", "votes", once=True)] == [(1, 2, 2)]
