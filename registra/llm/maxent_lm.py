@@ -28,11 +28,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import LOWER, partitions, prepare, table, utf8, written
 
@@ -61,11 +63,13 @@ def tail_class(word: bytes) -> int:
 
 
 def word_hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
     return (xxh64_intdigest(word) ^ 1 << 63) - (1 << 63)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
 def training() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
@@ -77,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def flush(n: Counter) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([word_hash(w) for w in n], pa.int64()),
+                    pa.array(word_hashes(list(n))),
                     pa.array([tail_class(w) for w in n], pa.int8()),
                     pa.array(list(n.values()), pa.int64()),
                 ],
@@ -120,6 +124,9 @@ class Vocabulary:
         self.inner = np.log(inner / inner.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+MISSING = -(1 << 30)
+
+
 class Codes(dict):
     """Words to codes: the rank, or -1 - tail class for words beyond the frequent ones."""
 
@@ -127,15 +134,29 @@ class Codes(dict):
         super().__init__()
         self.v = v
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        i = int(np.searchsorted(self.v.hashes, h))
-        known = i < len(self.v.hashes) and self.v.hashes[i] == h
-        code = int(self.v.by_hash[i]) if known else -1 - tail_class(word)
-        if len(self) >= 600_000:
-            self.clear()
-        self[word] = code
-        return code
+    def learn(self, words: list[bytes]) -> None:
+        h = word_hashes(words)
+        tails = np.fromiter(map(tail_class, words), np.int32, len(words))
+        if len(self.v.hashes):
+            i = np.minimum(np.searchsorted(self.v.hashes, h), len(self.v.hashes) - 1)
+            found = np.where(self.v.hashes[i] == h, self.v.by_hash[i], -1 - tails)
+        else:
+            found = -1 - tails
+        self.update(zip(words, found.tolist(), strict=True))
+
+    def of(self, docs: list[list[bytes]]) -> list[np.ndarray]:
+        """Codes of each document's words; those not met before are looked up together."""
+        out = [np.fromiter(map(self.get, w, repeat(MISSING)), np.int32, len(w)) for w in docs]
+        misses = [np.flatnonzero(x == MISSING) for x in out]
+        missed = [[w[i] for i in at.tolist()] for w, at in zip(docs, misses, strict=True)]
+        new = list(set().union(*missed))
+        if new:
+            if len(self) + len(new) > 600_000:
+                self.clear()
+            self.learn(new)
+            for x, at, w in zip(out, misses, missed, strict=True):
+                x[at] = list(map(self.__getitem__, w))
+        return out
 
 
 def codes(v: Vocabulary, key: object) -> Codes:
@@ -238,6 +259,19 @@ def _shares(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarr
     return out
 
 
+def segment_sums(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the runs of n rows from first on, by doubling, in x itself."""
+    within = np.arange(len(x), dtype=np.int32) - np.repeat(first, n).astype(np.int32)
+    left = np.repeat(n, n).astype(np.int32) - within  # rows of the run from this one on
+    at, reach = np.arange(len(x)), 1
+    while True:
+        at = at[(within[at] & (2 * reach - 1) == 0) & (left[at] > reach)]
+        if not len(at):
+            return x[first]
+        x[at] += x[at + reach]
+        reach *= 2
+
+
 def step(w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
     """An Adagrad step on a mini-batch, in place."""
     p = _shares(w, rows, bias)
@@ -247,8 +281,8 @@ def step(w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.
         s = r[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         own = s[first]
-        g = np.add.reduceat(np.take(p, order, axis=0), first, axis=0)
         n = np.diff(np.append(first, len(s)))
+        g = segment_sums(np.take(p, order, axis=0), first, n)
         g /= np.sqrt(n)[:, None]
         squares[own] += (g * g).mean(axis=1)
         touched[own] += n
@@ -258,13 +292,14 @@ def step(w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.
 def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Tokens]:
     held, size = [], 0
     for b in batches:
-        for text in b.column("text").to_pylist():
-            w = words_of(text)
-            held.append(np.fromiter(map(memo.__getitem__, w), np.int32, len(w)))
-            size += len(w) + 1
-            if size >= least:
-                yield Tokens(v, held)
-                held, size = [], 0
+        texts = b.column("text").to_pylist()
+        for a in range(0, len(texts), 32):
+            for code in memo.of([words_of(t) for t in texts[a : a + 32]]):
+                held.append(code)
+                size += len(code) + 1
+                if size >= least:
+                    yield Tokens(v, held)
+                    held, size = [], 0
     if held:
         yield Tokens(v, held)
 
@@ -362,10 +397,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rest = np.log10(1 - v.unknown) if v.unknown < 1 else 0.0
         log = np.log10(np.e)
         for b in batches:
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
             for a in range(0, len(texts), 32):
-                own = texts[a : a + 32]
-                t = Tokens(v, [np.fromiter(map(memo.__getitem__, w), np.int32, len(w)) for w in own])
+                own = [words_of(t) for t in texts[a : a + 32]]
+                t = Tokens(v, memo.of(own))
                 n = len(t.code)
                 at = slice(0, n)
                 lm = log_shares(outer, t.features(at), v.prior, t.group) * np.float64(log)
@@ -400,7 +435,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 where = np.flatnonzero(rare)
                 if len(where):
                     doc = np.searchsorted(t.ends, where)
-                    hashes = np.array([word_hash(own[d][i]) for d, i in zip(doc.tolist(), (where - starts[doc]).tolist(), strict=True)])
+                    hashes = word_hashes([own[d][i] for d, i in zip(doc.tolist(), (where - starts[doc]).tolist(), strict=True)])
                     order = np.lexsort((hashes, doc))
                     doc, hashes, part = doc[order], hashes[order], lm[where][order]
                     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from registra.llm import (
@@ -399,3 +400,12 @@ def test_warc_foreign(spark, tmp_path):
     assert sorted(len(x.payload) for x in got) == [3, 7, 5000, 90_000]
     lean = warc.read_warc(spark, tmp_path.as_uri(), payload=False).collect()
     assert {x.record_id for x in lean} == {"<3>", "<7>", "<5000>", "<90000>"}
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(0)
+    n = np.array([1, 7, 2, 1, 64, 3, 33])
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    x = rng.integers(0, 100, (n.sum(), 5)).astype(np.float32)
+    want = np.add.reduceat(x, first, axis=0)
+    assert (maxent_lm.segment_sums(x.copy(), first, n) == want).all()
