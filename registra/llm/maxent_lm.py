@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.2
 ROWS = 64  # of weights in a message
-_MEMO: dict[object, "Codes"] = {}
+_MEMO: dict[str, "Codes"] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -106,6 +107,7 @@ class Vocabulary:
 
     def __init__(self, frequent: pa.Table, n: int, kinds: int, ends: int, masses: dict[int, int]):
         hashes, tails, found = (frequent.column(x).to_numpy() for x in ("w", "tail", "c"))
+        self.key = uuid.uuid4().hex  # an id() could be met again in a worker that outlives this vocabulary
         order = np.lexsort((hashes, -found))
         hashes, self.tails, self.counts = hashes[order], tails[order].astype(np.int8), found[order]
         self.by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
@@ -159,11 +161,11 @@ class Codes(dict):
         return out
 
 
-def codes(v: Vocabulary, key: object) -> Codes:
-    if key not in _MEMO:
+def codes(v: Vocabulary) -> Codes:
+    if v.key not in _MEMO:
         _MEMO.clear()
-        _MEMO[key] = Codes(v)
-    return _MEMO[key]
+        _MEMO[v.key] = Codes(v)
+    return _MEMO[v.key]
 
 
 END = 1 << 30
@@ -307,7 +309,7 @@ def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least
 def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Weights over classes and over the words of head classes."""
     spark = docs.sparkSession
-    sent, key = spark.sparkContext.broadcast(v), id(v)
+    sent = spark.sparkContext.broadcast(v)
     model = [np.zeros((HASH, CLASSES), np.float32), np.zeros((HASH, WIDE), np.float32)]
     turn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS))
     for number in range(ROUNDS):
@@ -318,7 +320,7 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
             w = [x.copy() for x in base.value]
             squares = [np.zeros(HASH, np.float32) for _ in w]
             touched = [np.zeros(HASH, np.float32) for _ in w]
-            for t in encoded(v, codes(v, key), batches, 8 * BATCH):
+            for t in encoded(v, codes(v), batches, 8 * BATCH):
                 for a in range(0, len(t.code), BATCH):
                     at = slice(a, a + BATCH)
                     step(w[0], squares[0], touched[0], t.features(at), v.prior, t.group[at])
@@ -383,13 +385,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = written(count_words(learned), "words")
     v = vocabulary(counts, learned.count())
     weights = train(rows, v)
-    sent, model, key = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(weights), id(v)
+    sent, model = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, (outer, inner) = sent.value, model.value
-        memo, row = codes(v, key), TaskContext.get().partitionId() << 33
+        memo, row = codes(v), TaskContext.get().partitionId() << 33
         known = np.log10((v.counts + 0.5) / v.space)
         share = np.log10(np.maximum(v.counts, 1) / v.mass[v.tails]) if len(v.counts) else known
         # Tokens beyond the frequent ones may be unknown: their parts are settled after the join.

@@ -402,6 +402,23 @@ def test_warc_foreign(spark, tmp_path):
     assert {x.record_id for x in lean} == {"<3>", "<7>", "<5000>", "<90000>"}
 
 
+def test_codes_follow_the_vocabulary():
+    """A worker that has met another vocabulary must not keep its codes."""
+    word = b"word"
+
+    def vocabulary(words):
+        hashes = pa.array([maxent_lm.word_hash(w) for w in words], pa.int64())
+        tails = pa.array([maxent_lm.tail_class(w) for w in words], pa.int8())
+        counts = pa.array(range(len(words), 0, -1), pa.int64())
+        masses = dict.fromkeys(range(maxent_lm.TAILS), 9)
+        return maxent_lm.Vocabulary(pa.table({"w": hashes, "tail": tails, "c": counts}), 9, len(words), 1, masses)
+
+    first, second = vocabulary([b"a", b"b", word]), vocabulary([word])
+    assert maxent_lm.codes(first).of([[word, b"a"], []])[0].tolist() == [2, 0]
+    got = maxent_lm.codes(second).of([[word, b"a", word]])[0].tolist()
+    assert got == [0, -1 - maxent_lm.tail_class(b"a"), 0]
+
+
 def test_segment_sums():
     rng = np.random.default_rng(0)
     n = np.array([1, 7, 2, 1, 64, 3, 33])
