@@ -1,13 +1,19 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license notices.
+"""License scans: an exact set-similarity join of text blocks with license notices.
 
+A template's blocks are all runs of n / threshold consecutive words (n: the template's words, repeats included) of
+the whole text, so that a notice may wrap over lines, and words scattered over a longer line don't make one.
 A block matches a template when at least ``threshold`` of the template's distinct words are in the block.
 Words that no template has can't take part; the rest get one global order, rarest first, from counts
-over all blocks of the table. For a template of t words, of which a = ceil(threshold * t) must be there:
+over all texts of the table. A text that fails a filter has no matching block. For a template of t words, of
+which a = ceil(threshold * t) must be there:
 
-* prefix: the block must have one of the template's t - a + 1 rarest words,
-* length: the block must have a template words at least,
+* prefix: the text must have one of the template's t - a + 1 rarest words,
+* length: the text must have a template words at least,
 * position: from the first common word on, both must have enough words left to come to a,
-* then the words common to both are counted.
+* then the words common to both are counted,
+* and for the templates left, those in each block, by a window that slides over the template's words in the text.
+
+The SQL knows lines as blocks only: it gives other labels for notices that wrap and for scattered words.
 
 Beside it stand fixed phrases (the base), found wherever their words stand consecutively.
 
@@ -18,8 +24,10 @@ once; ties and repeated documents are judged one by one; extra columns are ignor
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +66,7 @@ TEMPLATES = [
 THRESHOLD = 0.9
 
 
-def block_words(text: str | None) -> list[list[bytes]]:
+def line_words(text: str | None) -> list[list[bytes]]:
     return [x.translate(ALNUM).split() for x in utf8(text).split(b"\n")]
 
 
@@ -74,6 +82,8 @@ class Index:
         order = sorted(set().union(*sets), key=lambda w: (counts.get(w, 0), w))
         self.place = {w: k for k, w in enumerate(order)}
         self.labels = [x for x, _ in templates]
+        self.words = sets
+        self.width = [need(len(t.encode().translate(ALNUM).split()), 1 / threshold) for _, t in templates]
         self.templates = [sorted(self.place[w] for w in s) for s in sets]
         self.need = [need(len(s), threshold) for s in sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
@@ -83,7 +93,7 @@ class Index:
         self.rare = frozenset(order[w] for w in self.prefix)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of one block."""
+        """(template, containment) of a text taken as one block."""
         if self.rare.isdisjoint(words):
             return []
         block = sorted(self.place[w] for w in self.place.keys() & set(words))
@@ -102,17 +112,42 @@ class Index:
                     out.append((k, common / len(t)))
         return sorted(out)
 
+    def blocks(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(first word, template, containment) of the matching blocks; of those that overlap, the first of the best."""
+        out = []
+        for k, _ in self.matches(words):
+            own, width, a = self.words[k], self.width[k], self.need[k]
+            at = [i for i, w in enumerate(words) if w in own]
+            n: Counter[bytes] = Counter()
+            lo, best = 0, None
+            for i in at:
+                n[words[i]] += 1
+                while at[lo] <= i - width or n[words[at[lo]]] > 1:
+                    n[words[at[lo]]] -= 1
+                    if not n[words[at[lo]]]:
+                        del n[words[at[lo]]]
+                    lo += 1
+                if len(n) < a:
+                    continue
+                if best and at[lo] > best[1]:
+                    out.append((best[0], k, best[2] / len(own)))
+                    best = None
+                if best is None or len(n) > best[2]:
+                    best = (at[lo], i, len(n))
+            if best:
+                out.append((best[0], k, best[2] / len(own)))
+        return sorted(out)
+
 
 def word_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
-    """In how many blocks of docs each template word is. At most a row a template word reaches the driver."""
+    """In how many texts of docs each template word is. At most a row a template word reaches the driver."""
     vocabulary = frozenset(w for _, t in templates for w in t.encode().translate(ALNUM).split())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[bytes] = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                for words in block_words(text):
-                    n.update(vocabulary.intersection(words))
+                n.update(vocabulary.intersection(utf8(text).translate(ALNUM).split()))
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(n), pa.binary()), "n": pa.array(list(n.values()), pa.int64())})
 
     rows = docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -142,7 +177,7 @@ SCHEMA = (
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The contract's columns and blocks: every matching (line number, label, containment)."""
+    """The contract's columns and blocks: every matching (line number of the first word, label, containment)."""
     prepare(docs.sparkSession)
     index = Index(templates, word_counts(docs, templates), threshold)
 
@@ -151,14 +186,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                lines = block_words(text)
+                lines = line_words(text)
                 words = [w for x in lines for w in x]
                 base = [] if firsts.isdisjoint(words) else base_hits(words)
                 blocks = []
                 if not index.rare.isdisjoint(words):
-                    for n, x in enumerate(lines):
-                        for k, share in index.matches(x):
-                            blocks.append({"block": n, "label": index.labels[k], "containment": share})
+                    starts = list(accumulate(map(len, lines)))
+                    for at, k, share in index.blocks(words):
+                        blocks.append({"block": bisect_right(starts, at), "label": index.labels[k], "containment": share})
                 own = {x for _, x in base}
                 rows.append(
                     {

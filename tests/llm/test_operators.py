@@ -293,6 +293,41 @@ def test_license(spark, docs, none):
     assert license_join.scan(none).count() == 0 and license_join.scan(docs).count() == docs.count()
 
 
+def test_license_blocks(spark):
+    """Notices that wrap over lines are found, words scattered over a long line are none, near notices stay apart."""
+    bsd = "Redistribution and use in source and binary\nforms, with or without modification, are permitted provided\nthat the following conditions are met:"
+    texts = [
+        "x\nThis work is licensed under the GNU General Public\nLicense, version 3", bsd, "Released\n\nunder the MIT\nLicense",
+        "released " + "a " * 90 + "under " + "b " * 90 + "the mit " + "c " * 90 + "license",
+        "Released under the MIT License and once more Released under the MIT License\nReleased under the\nMIT License",
+        "Released under the very own MIT License", bsd.replace("binary\n", "binary\n" + "z " * 9),
+    ]
+    got = by_id(license_join.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k].labels for k in range(7)] == ["gpl,gpl-3.0", "bsd", "mit", "", "mit", "mit", ""]
+    assert [got[k].score for k in (1, 3)] == [1, 0]
+    assert [[(b.block, b.containment) for b in got[k].blocks] for k in (0, 2, 4, 5)] == [[(1, 1)], [(0, 1)], [(0, 1), (0, 1), (1, 1)], []]
+
+
+def test_license_blocks_lose_nothing():
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(12)]
+    templates = [(str(k), " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9)))) for k in range(12)]
+    for threshold in (0.5, 0.8, 1.0):
+        index = license_join.Index(templates, {w.encode(): rng.randrange(9) for w in vocabulary}, threshold)
+        for _ in range(200):
+            text = [w.encode() for w in rng.choices([*vocabulary, "zz", "zz"], k=rng.randrange(0, 40))]
+            want = {}
+            for k, (_, t) in enumerate(templates):
+                s, n = set(t.encode().split()), math.ceil(len(t.split()) / threshold - 1e-9)
+                best = max((len(s & set(text[a : a + n])) for a in range(len(text))), default=0)
+                if best >= license_join.need(len(s), threshold):
+                    want[k] = best / len(s)
+            got = {}
+            for _, k, share in index.blocks(text):
+                got[k] = max(got.get(k, 0), share)
+            assert got == want
+
+
 def test_license_filters_lose_nothing():
     rng = random.Random(8)
     vocabulary = [f"v{k}" for k in range(25)]
