@@ -475,6 +475,23 @@ def frame_vote(spark, d):
     return v.select("scan_id", "read", "votes", F.col("pooled").cast("bigint").alias("pooled"), F.col("place").cast("bigint").alias("place"))
 
 
+@query(
+    """WITH r AS (SELECT conv_id AS scan_id, turn AS read, length(text) % 100 AS conf, regexp_extract_all(text, '\\d{2,7}-\\d{2}-\\d') AS cas,
+  list_distinct(list_filter([regexp_replace(lower(x), '[^a-z]', '', 'g') FOR x IN regexp_split_to_array(text, '[ \\t\\n\\r]+')], lambda x: x <> '')) AS names FROM conversations),
+v AS (SELECT a.scan_id, a.read, a.conf, count(*) FILTER (WHERE a.read = b.read OR CASE WHEN len(a.cas) > 0 AND len(b.cas) > 0 THEN list_has_any(a.cas, b.cas) ELSE list_has_any(a.names, b.names) OR
+    len([1 FOR x IN a.names IF len([1 FOR y IN b.names IF length(x) >= 6 AND length(y) >= 6 AND (contains(x, y) OR contains(y, x))]) > 0]) > 0 END) AS votes
+  FROM r a JOIN r b USING (scan_id) GROUP BY ALL)
+SELECT scan_id, read, votes, CAST(conf * least(votes, 12) AS BIGINT) AS pooled, row_number() OVER (PARTITION BY scan_id ORDER BY votes DESC, conf * least(votes, 12) DESC, read) AS place FROM v"""
+)
+def frame_vote_whole(spark, d):
+    """frame_vote over all words and identifiers of the texts; frame_vote's own SQL fixes the first three words."""
+    words = F.transform(F.split("text", "[ \\t\\n\\r]+"), lambda x: F.regexp_replace(F.lower(x), "[^a-z]", ""))
+    names = F.array_distinct(F.filter(words, lambda x: x != ""))
+    reads = table(spark, d, "conversations").select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("read"), T.cas_numbers(F.col("text")).alias("cas"), names.alias("names"), (F.length("text") % 100).alias("conf"))
+    v = mining.votes(reads)
+    return v.select("scan_id", "read", "votes", F.col("pooled").cast("bigint").alias("pooled"), F.col("place").cast("bigint").alias("place"))
+
+
 _RATIO = "CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g'))::DOUBLE ELSE 1.0 END"
 
 

@@ -154,6 +154,30 @@ def test_votes(spark):
     assert {x.read: (x.votes, x.place) for x in got} == {0: (3, 1), 3: (3, 2), 2: (2, 3), 1: (2, 4)}
 
 
+def test_votes_of_whole_texts(spark, tmp_path):
+    """Against brute force over all words and identifiers."""
+    import re
+
+    from registra import catalog
+
+    rng = random.Random(5)
+    vocabulary = [*(f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "captan", "Captanol,", "permethrin", "cypermethrin\n", "12", "50-00-0", "1071-83-6"]
+    texts = [(s, r, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 9)))) for s in range(12) for r in range(6)]
+    texts += [(99, 0, "see the first line captan"), (99, 1, "one two three captan"), (99, 2, "no four five 50-00-0"), (99, 3, "no four five 60-00-0")]
+    spark.createDataFrame(texts, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def agree(a, b):
+        x, y = ({*re.findall(r"\d{2,7}-\d{2}-\d", t)} for t in (a, b))
+        if x and y:
+            return bool(x & y)
+        m, n = ({re.sub("[^a-z]", "", w.lower()) for w in t.split()} - {""} for t in (a, b))
+        return bool(m & n) or any(len(v) >= 6 <= len(w) and (v in w or w in v) for v in m for w in n)
+
+    got = {(x.scan_id, x.read): x.votes for x in catalog.queries()["frame_vote_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(s, r): sum(s == z and (r == q or agree(t, u)) for z, q, u in texts) for s, r, t in texts}
+    assert [got[99, r] for r in range(4)] == [2, 2, 1, 1]
+
+
 def test_lines(spark):
     boxes = [(1, "b", 90.0, 50.0, 10.0, 60.0, 20.0), (1, "a", 90.0, 0.0, 12.0, 9.0, 21.0), (1, "c", 90.0, 0.0, 60.0, 9.0, 70.0), (1, "no", 10.0, 0.0, 60.0, 9.0, 70.0)]
     df = spark.createDataFrame(boxes, "read_id long, text string, conf double, x0 double, y0 double, x1 double, y1 double")
