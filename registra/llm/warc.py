@@ -213,7 +213,7 @@ class WarcReader(DataSourceReader):
             pass
         row, length, body = self.head(raw)
         wanted = self.passes(row)
-        if wanted and self.payload and row["record_type"] == "response":
+        if wanted and self.payload and row["record_type"] != "revisit":
             while len(raw) < body + length and more(1 << 16):
                 pass
             self.attach(row, raw[body : body + length])
@@ -232,7 +232,7 @@ class WarcReader(DataSourceReader):
             raw += x
         row, length, body = self.head(raw)
         if self.passes(row):
-            if self.payload and row["record_type"] == "response":
+            if self.payload and row["record_type"] != "revisit":
                 f.seek(at + body)
                 self.attach(row, f.read(length))
             yield row
@@ -256,7 +256,8 @@ class WarcReader(DataSourceReader):
         return row, int(fields["content-length"]), body
 
     def attach(self, row: dict, block: bytes) -> None:
-        row["payload"] = block[block.index(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
+        http = block.startswith(b"HTTP/") or row["record_type"] == "request" and b"\r\n\r\n" in block
+        row["payload"] = block[block.index(b"\r\n\r\n") + 4 :] if http else block
         digest = hashlib.sha256(row["payload"]).hexdigest()
         if self.verify and row["payload_digest"] not in (None, digest):
             raise ValueError(f"{row['record_id']}: the payload doesn't have its digest")

@@ -420,6 +420,22 @@ def test_warc(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_payloads_of_other_records(spark, tmp_path):
+    import gzip
+
+    def record(kind, block):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    blocks = {"conversion": b"Plain text\r\n\r\nof a page", "resource": b"x" * 5000, "request": b"GET / HTTP/1.1\r\nHost: a\r\n\r\nbody", "revisit": b"HTTP/1.1 200 OK\r\n\r\n"}
+    (tmp_path / "a.warc").write_bytes(b"".join(record(k, x) for k, x in blocks.items()))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(k, x)) for k, x in blocks.items()))
+    got = warc.read_warc(spark, tmp_path.as_uri()).collect()
+    want = blocks | {"request": b"body", "revisit": None}
+    assert len(got) == 8 and all((x.payload and bytes(x.payload)) == want[x.record_type] for x in got)
+    assert all(x.payload_bytes == len(want[x.record_type]) for x in got if x.record_type != "revisit")
+
+
 def test_warc_foreign(spark, tmp_path):
     """A plain file, and a gzip file whose members don't say how long they are."""
     import gzip
