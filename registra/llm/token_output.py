@@ -1,20 +1,22 @@
 """Token ids in byte-aligned variable-length coding with separate control bytes.
 
-File format (little-endian; one file per range of document ids, files in ascending order)
-  magic ``RGV1``; n_docs u64; n_ids u64; n_ranks u32
-  rank table: n_ranks u32, the file's ids by falling frequency, then by id
+File format (little-endian; one file per range of documents, files in ascending order). A file is a run of
+segments, each with at most SEGMENT ids or one document:
+  magic ``RGV2``; n_docs u64; n_ids u64; n_data u64; n_ranks u32
+  rank table: n_ranks u32, the segment's ids by falling frequency, then by id
   document table: n_docs i64 ids, n_docs u8 null flags, n_docs u64 token counts
   control bytes: one for four values, two bits a value, low bits first: length - 1
-  data bytes: each value's rank in 1 to 4 bytes
+  data bytes (n_data): each value's rank in 1 to 4 bytes
 
-Each file ranks its own ids, so that one pass over the text writes it, any file can be read alone, and a
-lost task rewrites only its own file. A file is written under a name of its attempt and then renamed;
-attempts write equal bytes.
+Each segment ranks its own ids, so that one pass over the text writes it, any part of a file can be read
+alone, a task holds one segment whatever the size of its range, and a lost task rewrites only its own
+file. A file is written under a name of its attempt and then renamed; attempts write equal bytes.
 
 Tokenizing: the vocabulary's pre-tokenizer never crosses a single blank or newline between two visible
 characters (a blank goes with the word behind it, a newline stands alone), so that such texts are cut
-there and equal pieces are encoded once a worker. Texts with other white space or control characters, or
-with a special token's string, go to the tokenizers library whole. Ids equal those of the whole text.
+there and equal pieces are encoded once a worker, as long as they are frequent. Texts with other white space
+or control characters, or with a special token's string, go to the tokenizers library whole, and so do all
+texts where the vocabulary isn't of that kind. Ids equal those of the whole text.
 
 Defined results: null and empty texts have the end id only; rows with a null id come first; repeated ids
 are ordered by the text's hash, then the text; extra columns are ignored; an empty table gives no file.
@@ -22,20 +24,25 @@ are ordered by the text's hash, then the text; extra columns are ignored; an emp
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = b"RGV1"
-_MEMO: dict[str, dict[str, bytes]] = {}
-_MEMO_ENTRIES = 700_000
+MAGIC = b"RGV2"
+SEGMENT = 1 << 21  # ids of a segment, about
+_HEAD = struct.Struct("<4sQQQI")
+_MEMO: dict[str, tuple[dict[str, bytes], set[str]]] = {}
+_MEMO_ENTRIES = 500_000
 _MEMO_CHARS = 64
 #: Anything but single blanks and newlines between visible characters.
 _IRREGULAR = re.compile(
@@ -56,6 +63,19 @@ def irregular(text: str) -> bool:
 #: By control byte: the lengths of its four values.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 
+#: A blank and letters or digits, then ASCII marks: one pre-token each, in any byte-level vocabulary.
+_PARTS = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))?([!-/:-@\[-`{-~]*)")
+
+
+def _byte_characters() -> str:
+    """By byte: the character that stands for it in byte-level vocabularies (visible ones for themselves)."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in visible else next(others)) for b in range(256))
+
+
+BYTE_CHARACTERS = _byte_characters()
+
 
 class Encoder:
     """Whole texts to little-endian u32 ids, without special tokens added."""
@@ -66,40 +86,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _MEMO.setdefault(path, {})
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        #: Pieces may be encoded alone: a byte-level vocabulary that changes no character.
-        self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None and len(self._whole("\n")) == 4
+        if path not in _MEMO:
+            _MEMO.clear()
+            _MEMO[path] = {}, set()
+        #: Pieces' ids, and the pieces that were met again since the memo was last thinned.
+        self.memo, self.again = _MEMO[path]
+        self.cuts = self._byte_level(path) and len(self._whole("\n")) == 4
+
+    def _byte_level(self, path: str) -> bool:
+        """Whether pieces may be encoded alone: a byte-level BPE vocabulary that changes no character, puts no
+        blank in front, cuts by the usual pattern and always merges alike."""
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        cut, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+        return (
+            cut.get("type") == "ByteLevel" and cut.get("add_prefix_space") is False and cut.get("use_regex", True) is True
+            and told.get("normalizer") is None and told.get("truncation") is None and told.get("padding") is None
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+            and not model.get("end_of_word_suffix")
+        )
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces without blanks (but a first one) and newlines, and remember their ids. They go to
-        the library a few thousand at a time with a newline between them, whose id is theirs alone."""
-        memo, cores = self.memo, set()
-        ended = [x for x in pieces if len(x) > 2 and x[-1] in ".," and x[-2].isalnum()]
-        for x in ended:
-            if x[:-1] not in memo:
-                cores.add(x[:-1])
-        marks = {".", ",", "\n"}.difference(memo)
-        plain = [*cores, *marks.difference(["\n"]), *set(pieces).difference(ended, cores, marks)]
-        if "\n" not in memo:
-            memo["\n"] = self._whole("\n")
-        newline = np.frombuffer(memo["\n"], "<u4")[0]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == newline), len(ids))
-            raw, a = ids.tobytes(), 0
-            for x, b in zip(part, (4 * ends).tolist(), strict=True):
-                memo[x] = raw[a:b]
-                a = b + 4
-        for x in ended:
-            memo[x] = memo[x[:-1]] + memo[x[-1]]
+        """Encode pieces without blanks (but a first one) and newlines, and remember their ids. Letters or
+        digits and marks are pre-tokens that the library's model takes as they are; other pieces go through
+        the whole tokenizer, a few thousand at a time with a newline between them, whose id is theirs alone."""
+        memo, ended, other, parts = self.memo, [], [], set()
+        for x, m in zip(pieces, map(_PARTS.fullmatch, pieces), strict=True):
+            if m is None:
+                other.append(x)
+            else:
+                word, marks = m.groups()
+                if word and marks:
+                    ended.append((x, word, marks))
+                parts.update(filter(None, (word, marks)))
+        model, known = self.tokenizer.model, list(parts.difference(memo))
+        ids, ends = [], [0]
+        if known:
+            mapped = codecs.charmap_decode("\n".join(known).encode(), "strict", BYTE_CHARACTERS)[0]
+            for x in mapped.split(BYTE_CHARACTERS[10]):
+                ids += [t.id for t in model.tokenize(x)]
+                ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        memo.update(zip(known, [raw[a:b] for a, b in pairwise(ends)], strict=True))
+        for x, word, marks in ended:
+            memo[x] = memo[word] + memo[marks]
+        memo["\n"] = newline = self._whole("\n")
+        mark = np.frombuffer(newline, "<u4")[0]
+        other = [x for x in other if x != "\n"]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = 4 * np.append(np.flatnonzero(ids == mark), len(ids))
+            raw, starts = ids.tobytes(), np.append(0, cut[:-1] + 4)
+            memo.update(zip(part, [raw[a:b] for a, b in zip(starts.tolist(), cut.tolist(), strict=True)], strict=True))
+
+    def _thin(self) -> None:
+        """Keep what was met again: frequent pieces outlive the many that occur once."""
+        kept = {x: self.memo[x] for x in self.again} if 2 * len(self.again) < _MEMO_ENTRIES else {}
+        self.memo.clear()
+        self.memo.update(kept)
+        self.again.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, cut, whole = self.memo, {}, []
+        cut, whole = {}, []
         for k, text in enumerate(texts):
             if not text:
                 continue
@@ -107,11 +159,14 @@ class Encoder:
                 whole.append(k)
             else:
                 cut[k] = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if len(memo) > _MEMO_ENTRIES:
-            memo.clear()
-        new = list(set().union(*cut.values()).difference(memo)) if cut else []
+        if len(self.memo) > _MEMO_ENTRIES:
+            self._thin()
+        memo, met = self.memo, set().union(*cut.values())
+        new = list(met.difference(memo))
         if new:
+            met.difference_update(new)
             self._learn(new)
+        self.again |= met
         out = [b""] * len(texts)
         for k, pieces in cut.items():
             out[k] = b"".join(map(memo.__getitem__, pieces))
@@ -152,11 +207,11 @@ def unpack(ranks: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) ->
 
 
 def to_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """A segment."""
     ranks, control, data = pack(ids)
     return b"".join(
         (
-            MAGIC,
-            struct.pack("<QQI", len(doc_ids), len(ids), len(ranks)),
+            _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(data), len(ranks)),
             ranks.tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             np.array([x is None for x in doc_ids], np.uint8).tobytes(),
@@ -167,60 +222,71 @@ def to_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) ->
     )
 
 
-def from_bytes(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    if raw[:4] != MAGIC:
-        raise ValueError("not a token file")
-    n_docs, n_ids, n_ranks = struct.unpack_from("<QQI", raw, 4)
-    at = 24
+def segments(f: BinaryIO) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Document ids, token counts and token ids of a file's segments, one after the other."""
+    while head := f.read(_HEAD.size):
+        magic, n_docs, n_ids, n_data, n_ranks = _HEAD.unpack(head)
+        if magic != MAGIC:
+            raise ValueError("not a token file")
 
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(raw, kind, n, at)
-        at += out.nbytes
-        return out
+        def take(kind: str, n: int) -> np.ndarray:
+            return np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind, n)
 
-    ranks, keys, null, counts = take("<u4", n_ranks), take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
-    control = take("u1", -(-n_ids // 4))
-    ids = unpack(ranks, control, take("u1", len(raw) - at), n_ids)
-    return [None if z else int(k) for k, z in zip(keys, null, strict=True)], counts, ids
+        ranks, keys, null, counts = take("<u4", n_ranks), take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
+        control = take("u1", -(-n_ids // 4))
+        ids = unpack(ranks, control, take("u1", n_data), n_ids)
+        yield [None if z else int(k) for k, z in zip(keys, null, strict=True)], counts, ids
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, files: int | None = None
-) -> list[dict]:
+    docs: DataFrame, path: str, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0,
+    files: int | None = None, segment: int = SEGMENT,
+) -> list[dict]:
     """Write docs' ids under path and return the files' list: name, docs, tokens, in ascending order.
     One row a file reaches the driver."""
     from .common import partitions, prepare
 
     spark = prepare(docs.sparkSession)
     hashed = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    ordered = hashed.repartitionByRange(files or partitions(spark), F.col("k").asc_nulls_first()).sortWithinPartitions(
-        F.col("k").asc_nulls_first(), F.xxhash64("t"), "t"
-    )
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
+    ordered = hashed.repartitionByRange(files or partitions(spark), *order).sortWithinPartitions(*order, "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, keys, parts, counts = Encoder(tokenizer_file), [], [], []
-        last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            keys += batch.column("k").to_pylist()
-            for ids in encoder.encode(texts):
-                parts += (ids, last)
-                counts.append(len(ids) // 4 + 1)
-        if not keys:
-            return
         context = TaskContext.get()
         place, name = context.partitionId(), f"part-{context.partitionId():06d}.rgv"
-        raw = to_bytes(keys, np.array(counts), np.frombuffer(b"".join(parts), "<u4"))
         store, folder = fs.FileSystem.from_uri(path)
         own = f"{folder}/_{name}.{context.taskAttemptId()}"
+        encoder, keys, parts, counts = Encoder(tokenizer_file), [], [], []
+        last = np.array([end_id], "<u4").tobytes()
+        docs = tokens = held = 0
+
+        def flush() -> None:
+            nonlocal docs, tokens, held
+            if keys:
+                f.write(to_bytes(keys, np.array(counts), np.frombuffer(b"".join(parts), "<u4")))
+            docs, tokens, held = docs + len(keys), tokens + held, 0
+            for x in (keys, parts, counts):
+                x.clear()
+
         with store.open_output_stream(own) as f:
-            f.write(raw)
+            for batch in batches:
+                all_keys, texts = (batch.column(c).to_pylist() for c in ("k", "t"))
+                for k, ids in zip(all_keys, encoder.encode(texts), strict=True):
+                    keys.append(k)
+                    parts += (ids, last)
+                    counts.append(len(ids) // 4 + 1)
+                    held += counts[-1]
+                    if held >= segment:
+                        flush()
+            flush()
+        if not docs:
+            store.delete_file(own)
+            return
         store.move(own, f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [place], "name": [name], "docs": [len(keys)], "tokens": [sum(counts)]})
+        yield pa.RecordBatch.from_pydict({"part": [place], "name": [name], "docs": [docs], "tokens": [tokens]})
 
     made = ordered.mapInArrow(write, "part long, name string, docs long, tokens long").collect()
     return [x.asDict() for x in sorted(made, key=lambda x: x.part)]
@@ -245,20 +311,21 @@ def read_tokens(spark: SparkSession, path: str, listed: list[dict]) -> DataFrame
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with store.open_input_stream(f"{folder}/{name}") as f:
-                    keys, counts, ids = from_bytes(f.read())
-                ends = np.cumsum(counts, dtype=np.int64)
-                begins = ends - counts.astype(np.int64)
-                for at in range(0, len(keys), 256):
-                    span = range(at, min(at + 256, len(keys)))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[at : at + 256], pa.int64()),
-                            pa.array(begins[at : at + 256] + start),
-                            pa.array(counts[at : at + 256].astype(np.int64)),
-                            pa.array([ids[begins[k] : ends[k]].tobytes() for k in span], pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    for keys, counts, ids in segments(f):
+                        ends = np.cumsum(counts, dtype=np.int64)
+                        begins = ends - counts.astype(np.int64)
+                        for at in range(0, len(keys), 256):
+                            span = range(at, min(at + 256, len(keys)))
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(keys[at : at + 256], pa.int64()),
+                                    pa.array(begins[at : at + 256] + start),
+                                    pa.array(counts[at : at + 256].astype(np.int64)),
+                                    pa.array([ids[begins[k] : ends[k]].tobytes() for k in span], pa.binary()),
+                                ],
+                                ["doc_id", "start", "n_tokens", "ids"],
+                            )
+                        start += int(ends[-1])
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 

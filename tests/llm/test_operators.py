@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on texts with nulls, empty and long ones, ties and repeats."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -90,12 +91,13 @@ def test_quality_line_rules(spark):
     assert x.clean_text == "\n".join([good] * 9)
 
 
-def test_token_output(spark, docs, rows, none):
+@pytest.mark.parametrize("segment", [1 << 21, 50])
+def test_token_output(spark, docs, rows, none, segment):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     path = scratch(spark, "t")
-    listed = token_output.write_tokens(docs, path, tokenizer_path(), files=3)
+    listed = token_output.write_tokens(docs, path, tokenizer_path(), files=3, segment=segment)
     got, start = by_id(token_output.read_tokens(spark, path, listed)), 0
     for k, t, *_ in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
@@ -111,8 +113,40 @@ def test_token_coding():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
         ids = rng.choice(np.array([0, 1, 300, 70_000]), n) if n < 1000 else rng.integers(0, 70_000, n)
-        keys, counts, back = token_output.from_bytes(token_output.to_bytes([None], np.array([n]), ids.astype("<u4")))
-        assert keys == [None] and back.tolist() == ids.tolist()
+        raw = token_output.to_bytes([None], np.array([n]), ids.astype("<u4"))
+        for keys, counts, back in token_output.segments(io.BytesIO(2 * raw)):
+            assert keys == [None] and counts.tolist() == [n] and back.tolist() == ids.tolist()
+
+
+def test_token_pieces(monkeypatch):
+    """Ids equal the library's for every kind of piece, also when the memo is thinned again and again."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "_MEMO_ENTRIES", 40)
+    rng = random.Random(6)
+    parts = ["don't", "we'll", "'s", "it's'", "x_y", "__", "12", "3.5", "a1b2", "Été", "größer,", "ſ", "日本", "½", "word###", "end.", '"q"', "(x)", "e\u0301", "ʼn", "µ", "#", "...", "'", "İ!"]
+    texts = ["", *(rng.choice(" \n").join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(400)), "two  blanks", " lead", "a<|endoftext|>b"]
+    texts += ["\n".join(rng.choices(parts, k=30)) + " " + "".join(rng.choices(parts, k=40)) for _ in range(50)]
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), token_output.Encoder(tokenizer_path())
+    assert encoder.cuts
+    for a in range(0, len(texts), 7):
+        for t, ids in zip(texts[a : a + 7], encoder.encode(texts[a : a + 7]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_token_vocabulary_of_another_kind(tmp_path):
+    """Vocabularies that put a blank in front are encoded whole."""
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    told = json.loads(Path(tokenizer_path()).read_text())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    encoder, tokenizer = token_output.Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not encoder.cuts
+    assert np.frombuffer(encoder.encode(["a b\nc"])[0], "<u4").tolist() == tokenizer.encode("a b\nc", add_special_tokens=False).ids
 
 
 def test_simhash(spark, docs, rows, none):
