@@ -14,7 +14,7 @@ file. A file is written under a name of its attempt and then renamed; attempts w
 
 Tokenizing: the vocabulary's pre-tokenizer never crosses a single blank or newline between two visible
 characters (a blank goes with the word behind it, a newline stands alone), so that such texts are cut
-there and equal pieces are encoded once a worker, as long as they are frequent. Texts with other white space
+there and a worker encodes a frequent piece once. Texts with other white space
 or control characters, or with a special token's string, go to the tokenizers library whole, and so do all
 texts where the vocabulary isn't of that kind. Ids equal those of the whole text.
 
@@ -29,8 +29,8 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
-from itertools import pairwise
+from array import array
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 MAGIC = b"RGV2"
 SEGMENT = 1 << 21  # ids of a segment, about
 _HEAD = struct.Struct("<4sQQQI")
-_MEMO: dict[str, tuple[dict[str, bytes], set[str]]] = {}
-_MEMO_ENTRIES = 500_000
+_MEMO: dict[str, tuple] = {}
+_MEMO_ENTRIES = 400_000
+_MEMO_BARE = 10_000
 _MEMO_CHARS = 64
 #: Anything but single blanks and newlines between visible characters.
 _IRREGULAR = re.compile(
@@ -77,6 +78,33 @@ def _byte_characters() -> str:
 BYTE_CHARACTERS = _byte_characters()
 
 
+class Memo(dict):
+    """Words to ids' bytes, in two generations: a word is remembered for a while (young), and stays once it is met
+    again, so that frequent words outlive the many that occur once. Keys are what stands behind a blank; those that
+    begin with a newline stand for the line end and the word behind it."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn, self.young = learn, {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.young.pop(x, None)
+        if ids is not None:
+            self[x] = ids
+            return ids
+        ids = self.learn(x)
+        if len(x) <= _MEMO_CHARS:
+            self.young[x] = ids
+        return ids
+
+    def thin(self) -> None:
+        if len(self) > _MEMO_ENTRIES:
+            self.young = dict(self)
+            self.clear()
+        elif len(self.young) > _MEMO_ENTRIES:
+            self.young.clear()
+
+
 class Encoder:
     """Whole texts to little-endian u32 ids, without special tokens added."""
 
@@ -84,14 +112,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if path not in _MEMO:
             _MEMO.clear()
-            _MEMO[path] = {}, set()
-        #: Pieces' ids, and the pieces that were met again since the memo was last thinned.
-        self.memo, self.again = _MEMO[path]
-        self.cuts = self._byte_level(path) and len(self._whole("\n")) == 4
+            _MEMO[path] = Tokenizer.from_file(path), Memo(self._behind_blank), {}
+        self.tokenizer, self.memo, self.bare = _MEMO[path]
+        self.memo.learn = self._behind_blank
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.newline = self._whole("\n")
+        self.cuts = self._byte_level(path) and len(self.newline) == 4
 
     def _byte_level(self, path: str) -> bool:
         """Whether pieces may be encoded alone: a byte-level BPE vocabulary that changes no character, puts no
@@ -109,75 +138,50 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces without blanks (but a first one) and newlines, and remember their ids. Letters or
-        digits and marks are pre-tokens that the library's model takes as they are; other pieces go through
-        the whole tokenizer, a few thousand at a time with a newline between them, whose id is theirs alone."""
-        memo, ended, other, parts = self.memo, [], [], set()
-        for x, m in zip(pieces, map(_PARTS.fullmatch, pieces), strict=True):
-            if m is None:
-                other.append(x)
-            else:
-                word, marks = m.groups()
-                if word and marks:
-                    ended.append((x, word, marks))
-                parts.update(filter(None, (word, marks)))
-        model, known = self.tokenizer.model, list(parts.difference(memo))
-        ids, ends = [], [0]
-        if known:
-            mapped = codecs.charmap_decode("\n".join(known).encode(), "strict", BYTE_CHARACTERS)[0]
-            for x in mapped.split(BYTE_CHARACTERS[10]):
-                ids += [t.id for t in model.tokenize(x)]
-                ends.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        memo.update(zip(known, [raw[a:b] for a, b in pairwise(ends)], strict=True))
-        for x, word, marks in ended:
-            memo[x] = memo[word] + memo[marks]
-        memo["\n"] = newline = self._whole("\n")
-        mark = np.frombuffer(newline, "<u4")[0]
-        other = [x for x in other if x != "\n"]
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = 4 * np.append(np.flatnonzero(ids == mark), len(ids))
-            raw, starts = ids.tobytes(), np.append(0, cut[:-1] + 4)
-            memo.update(zip(part, [raw[a:b] for a, b in zip(starts.tolist(), cut.tolist(), strict=True)], strict=True))
-
-    def _thin(self) -> None:
-        """Keep what was met again: frequent pieces outlive the many that occur once."""
-        kept = {x: self.memo[x] for x in self.again} if 2 * len(self.again) < _MEMO_ENTRIES else {}
-        self.memo.clear()
-        self.memo.update(kept)
-        self.again.clear()
+    def _behind_blank(self, x: str) -> bytes:
+        if x[0] == "\n":
+            return self.newline + self._piece("", x[1:])
+        return self._piece(" ", x)
+
+    def _marks(self, x: str) -> bytes:
+        ids = self.bare.get(x)
+        if ids is None:
+            if len(self.bare) > _MEMO_BARE:
+                self.bare.clear()
+            ids = self.bare[x] = self._piece("", x)
+        return ids
+
+    def _piece(self, blank: str, x: str) -> bytes:
+        """Ids of a text without blanks (but the one in front) and newlines. Letters or digits and marks are
+        pre-tokens that the library's model takes as they are; other pieces go through the whole tokenizer."""
+        if x.isascii() and x.isalpha():
+            return _ids(self.tokenize(BYTE_CHARACTERS[32] + x if blank else x))
+        m = _PARTS.fullmatch(blank + x)
+        if m is None:
+            return self._whole(blank + x)
+        word, marks = m.groups()
+        if word and marks:
+            return (self.memo[word[1:]] if blank else self._piece("", word)) + self._marks(marks)
+        return _ids(self.tokenize(codecs.charmap_decode((blank + x).encode(), "strict", BYTE_CHARACTERS)[0]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, whole = {}, []
-        for k, text in enumerate(texts):
+        out, memo = [], self.memo
+        for text in texts:
             if not text:
-                continue
-            if not self.cuts or irregular(text) or any(s in text for s in self.special):
-                whole.append(k)
+                out.append(b"")
+            elif not self.cuts or irregular(text) or any(s in text for s in self.special):
+                out.append(self._whole(text))
             else:
-                cut[k] = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if len(self.memo) > _MEMO_ENTRIES:
-            self._thin()
-        memo, met = self.memo, set().union(*cut.values())
-        new = list(met.difference(memo))
-        if new:
-            met.difference_update(new)
-            self._learn(new)
-        self.again |= met
-        out = [b""] * len(texts)
-        for k, pieces in cut.items():
-            out[k] = b"".join(map(memo.__getitem__, pieces))
-        for x in new:
-            if len(x) > _MEMO_CHARS:
-                del memo[x]
-        for k in whole:
-            out[k] = self._whole(texts[k])
+                first, *pieces = text.replace("\n", " \n").split(" ")
+                out.append(self._piece("", first) + b"".join(map(memo.__getitem__, pieces)))
+                memo.thin()
         return out
 
 
+def _ids(tokens: list) -> bytes:
+    return array("I", [t.id for t in tokens]).tobytes()
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rank table, control bytes and data bytes of ids."""
     n = np.bincount(ids)
