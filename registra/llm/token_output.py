@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"RGV2"
-SEGMENT = 1 << 21  # ids of a segment, about
+SEGMENT = 1 << 20  # ids of a segment, about
 _HEAD = struct.Struct("<4sQQQI")
 _MEMO: dict[str, tuple] = {}
-_MEMO_ENTRIES = 400_000
+_MEMO_ENTRIES = 200_000
 _MEMO_BARE = 10_000
 _MEMO_CHARS = 64
 #: Anything but single blanks and newlines between visible characters.
@@ -120,20 +120,21 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.newline = self._whole("\n")
-        self.cuts = self._byte_level(path) and len(self.newline) == 4
+        self.cuts = self._byte_level() and len(self.newline) == 4
 
-    def _byte_level(self, path: str) -> bool:
+    def _byte_level(self) -> bool:
         """Whether pieces may be encoded alone: a byte-level BPE vocabulary that changes no character, puts no
         blank in front, cuts by the usual pattern and always merges alike."""
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        cut, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
-        return (
-            cut.get("type") == "ByteLevel" and cut.get("add_prefix_space") is False and cut.get("use_regex", True) is True
-            and told.get("normalizer") is None and told.get("truncation") is None and told.get("padding") is None
-            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
-            and not model.get("end_of_word_suffix")
-        )
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        t = self.tokenizer
+        if not isinstance(t.model, BPE) or not isinstance(t.pre_tokenizer, ByteLevel):
+            return False
+        cut = json.loads(t.pre_tokenizer.__getstate__())
+        plain = cut.get("add_prefix_space") is False and cut.get("use_regex", True) is True
+        always = not (t.model.dropout or t.model.continuing_subword_prefix or t.model.end_of_word_suffix)
+        return plain and always and t.normalizer is None and t.truncation is None and t.padding is None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
