@@ -2,21 +2,27 @@
 
 Every byte covered by a SPAN-byte string that also starts earlier goes. Documents are ordered by id.
 
-1. Anchors. In every window of SPAN bytes the k-gram with the smallest hash is the window's anchor (the
+1. Parse. In every window of SPAN bytes the k-gram with the smallest hash is the window's anchor (the
    leftmost of equal ones), so that equal windows have equal anchors at equal places. A document becomes
    runs of windows with the same anchor; a run's context is its windows' bytes. Anchors that occur once
    can't be in a repeated window.
-2. Contexts with equal anchor and bytes (64 + 64 bits of hash) are folded into their first; the others'
-   windows all start earlier, there. Anchors with one distinct context end here.
-3. The contexts of the other anchors are dealt by anchor into buckets, and those of a bucket into shards.
-   Each shard gets the Burrows-Wheeler transform of its contexts over an alphabet of STRIDE-byte blocks
-   (a context is read as STRIDE strings of blocks, one for each phase). The transforms are merged by
+2. Dictionary. As in prefix-free parsing, equal contexts are one entry with several occurrences (equal: the
+   same anchor and 128 bits of hash over the bytes); all windows of the occurrences after the first start
+   earlier, there. Tasks combine occurrences before the shuffle, so that a passage that very many documents
+   share is few rows. An anchor with one entry ends here, as no other entry can have its windows.
+3. The entries of the other anchors are dealt by anchor into buckets, and those of a bucket into shards.
+   (An anchor with more than DEEP entries is dealt by a second anchor, with hashes of its own, too.)
+   Each shard gets the Burrows-Wheeler transform of its entries over an alphabet of STRIDE-byte blocks
+   (an entry is read as STRIDE strings of blocks, one for each phase). The transforms are merged by
    refining their interleave: round after round the blocks that stand before the interleaved rows are
    stably dealt into buckets, which sorts the rows by one block more; no suffix is compared or sorted
    again. A row's boundary appears in the round that is one more than its common prefix with the row
    before. After SPAN / STRIDE rounds rows without a boundary between them form a repeated interval; its
    bytes are compared, and all but its earliest start are removed.
 
+Memory: a task of step 2 holds 41 bytes for each occurrence of its share of the anchors that is left after
+combining; a task of step 3 holds one bucket.
+
 Defined results: null and empty texts have 0 bytes and keep the empty string; texts under SPAN bytes lose
 nothing; where ids are null or repeated, documents are ordered by (id, nulls first; text hash; text), and
 exactly repeated rows count as one after the other; extra columns are ignored.
@@ -36,13 +42,16 @@ from .common import partitions, prepare, table, utf8, written
 
 SPAN = 100
 GRAM = 32
-STRIDE = 20
+STRIDE = 25
 CHUNK = 1 << 20  # bytes hashed at a time
 BUCKET = 1 << 21  # bytes of contexts in a bucket
 SHARDS = 4
+DEEP = 12_000  # entries of an anchor
+COMMON = 8  # occurrences in a chunk that make a context worth remembering
+REMEMBERED = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
-_ROOT = 0x9E3779B97F4A7C15
-_BACK = pow(_ROOT, -1, 1 << 64)
+#: Odd multipliers of the polynomial hashes: one after the other is tried where two blocks share a hash.
+ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def _byte_values() -> np.ndarray:
@@ -62,11 +71,11 @@ def _powers(root: int, n: int) -> np.ndarray:
 class Hashes:
     """Polynomial hashes, modulo 2 ** 64, of all substrings of data."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, root: int = ROOTS[0]):
         n = len(data)
-        self.back = _powers(_BACK, n + 1)
+        self.back = _powers(pow(root, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data] * _powers(_ROOT, n), out=self.sums[1:])
+        np.cumsum(BYTE[data] * _powers(root, n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]
@@ -77,12 +86,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def runs(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchor, context hash, first and last window of the runs of data, documents end to end."""
+def runs(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM, root: int = ROOTS[0]) -> tuple[np.ndarray, ...]:
+    """Anchor, first and last window of the runs of data, documents end to end."""
     none = np.zeros(0, np.int64)
     if len(data) < span:
-        return none, none, none, none
-    hashes = Hashes(data)
+        return none, none, none
+    hashes = Hashes(data, root)
     h = _mix((hashes.sums[gram:] - hashes.sums[:-gram]) * hashes.back[: len(data) - gram + 1])
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, step = span - gram + 1, 1
@@ -97,8 +106,7 @@ def runs(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM)
     new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])]))
     last = np.append(new[1:], len(low)) - 1
     first, last = new[valid[new]], last[valid[new]]
-    anchor = h[(low[first] & _PLACE).astype(np.int64)].view(np.int64)
-    return anchor, hashes.of(first, last + span).view(np.int64), first, last
+    return h[(low[first] & _PLACE).astype(np.int64)].view(np.int64), first, last
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
@@ -111,20 +119,70 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
             at += 4 * CHUNK
 
 
+def contexts(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits of hash (two columns) of the bytes of each run's windows."""
+    from xxhash import xxh3_128_digest
+
+    spans = zip(first.tolist(), (last + SPAN).tolist(), strict=True)
+    return np.frombuffer(b"".join([xxh3_128_digest(raw[a:z]) for a, z in spans]), "<i8").reshape(-1, 2)
+
+
+def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (anchor, c, d, doc, run): those whose anchor repeats, sorted, and among them who is the first of its
+    anchor and who the first of its context."""
+    anchor = columns[0]
+    order = np.argsort(anchor, kind="stable")
+    s = anchor[order]
+    same = s[1:] == s[:-1]
+    again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(s) else order
+    a, c, d, doc, run = (x[again] for x in columns[:5])
+    again = again[np.lexsort((run, doc, d, c, a))]
+    a, c, d = (x[again] for x in columns[:3])
+    new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+    first = new | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])[: len(a)]
+    return again, new, first
+
+
+RUNS = ["anchor", "c", "d", "doc", "run", "copy"]
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to anchor, context, doc, run (first window << 8 | windows - 1)."""
+    """doc, text to anchor, c, d (the context's hash), doc, run (first window << 8 | windows - 1), copy.
+
+    Occurrences of one context are combined within a chunk: all but the first are copies. Contexts that a chunk has
+    COMMON times are remembered, so that the task's later chunks are combined with it: an occurrence behind the
+    remembered one is a copy, an earlier one takes its place."""
+    known: dict[tuple[int, int, int], tuple[int, int]] = {}
+    listed = np.zeros(0, np.int64)
 
     def flush(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        nonlocal listed
         size = np.array([len(x) for *_, x in held])
         ends = np.cumsum(size)
-        anchor, context, first, last = runs(np.frombuffer(b"".join(x for *_, x in held), np.uint8), ends)
+        raw = b"".join(x for *_, x in held)
+        anchor, first, last = runs(np.frombuffer(raw, np.uint8), ends)
         own = np.searchsorted(ends, first, side="right")
-        doc = np.array([d for d, *_ in held])[own]
+        doc = np.array([d for d, *_ in held], np.int64)[own]
         start = first - (ends - size)[own] + np.array([a for _, a, _ in held])[own]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(context), pa.array(doc), pa.array(start << 8 | (last - first))],
-            ["anchor", "context", "doc", "run"],
-        )
+        run = start << 8 | (last - first)
+        c, d = contexts(raw, first, last).T
+        at, _, new = _grouped([anchor, c, d, doc, run])
+        copy = np.zeros(len(anchor), bool)
+        copy[at[~new]] = True
+        leaders = np.flatnonzero(new)
+        times = np.diff(np.append(leaders, len(at)))
+        often = set(at[leaders[times >= COMMON]].tolist())
+        met = set(np.flatnonzero((listed[np.searchsorted(listed, c) % len(listed)] == c) & ~copy).tolist()) if len(listed) else set()
+        for i in sorted(often | met):
+            key, here = (int(anchor[i]), int(c[i]), int(d[i])), (int(doc[i]), int(run[i]))
+            before = known.get(key)
+            if before is not None and before < here:
+                copy[i] = True
+            elif before is not None or i in often and len(known) < REMEMBERED:
+                known[key] = here
+        if len(known) > len(listed):
+            listed = np.sort(np.fromiter((k[1] for k in known), np.int64, len(known)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, c, d, doc, run, copy)], RUNS)
 
     held, size = [], 0
     for b in batches:
@@ -141,36 +199,58 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose anchor repeats: doc, run, anchor, copy (its context was there before). Runs with an
-    anchor of one context that is theirs alone to begin with need nothing and are left out."""
-    got = [tuple(b.column(c).to_numpy() for c in ("anchor", "context", "doc", "run")) for b in batches]
+    """Runs to the dictionary: doc, run, anchor, copy (its context was there before), deep. First occurrences are left
+    out where their anchor has no other entry. Runs that are copies already are passed on."""
+    got = []
+    for b in batches:
+        copy = b.column("copy").to_numpy(zero_copy_only=False)
+        k = np.flatnonzero(copy)
+        if len(k):
+            doc, run, anchor = (b.column(x).to_numpy()[k] for x in ("doc", "run", "anchor"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(run), pa.array(anchor), pa.array(np.ones(len(k), bool)), pa.array(np.zeros(len(k), bool))], ENTRIES
+            )
+        k = np.flatnonzero(~copy)
+        got.append([b.column(x).to_numpy()[k] for x in RUNS[:5]])
     if not got:
         return
-    anchor, context, doc, run = (np.concatenate(x) for x in zip(*got, strict=True))
+    columns = [np.concatenate(x) for x in zip(*got, strict=True)]
     del got
-    order = np.lexsort((run, doc, context, anchor))
-    anchor, context, doc, run = anchor[order], context[order], doc[order], run[order]
-    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    first = new | np.concatenate([[True], context[1:] != context[:-1]])
+    at, new, first = _grouped(columns)
     group = np.cumsum(new) - 1
-    contexts = np.bincount(group, weights=first)
-    keep = ~first | (contexts[group] > 1)
-    for at in range(0, len(keep), 1 << 16):
-        k = np.flatnonzero(keep[at : at + (1 << 16)]) + at
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[k]), pa.array(run[k]), pa.array(anchor[k]), pa.array(~first[k])], ["doc", "run", "anchor", "copy"]
-        )
+    entries = np.bincount(group, weights=first) if len(group) else np.zeros(0)
+    keep = ~first | (entries[group] > 1)
+    for a in range(0, len(keep), 1 << 16):
+        k = np.flatnonzero(keep[a : a + (1 << 16)]) + a
+        anchor, _, _, doc, run = (x[at[k]] for x in columns)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(run), pa.array(anchor), pa.array(~first[k]), pa.array(entries[group[k]] > DEEP)], ENTRIES)
+
+
+ENTRIES = ["doc", "run", "anchor", "copy", "deep"]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with wanted runs to entries: anchor (with the second anchor in it where deep), doc, start, context."""
     for b in batches:
         out: list[list] = [[], [], [], []]
+
+        def put(anchor: int, doc: int, start: int, context: bytes, out: list[list] = out) -> None:
+            for column, v in zip(out, (anchor, doc, start, context), strict=True):
+                column.append(v)
+
         for doc, text, wanted in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
             raw = utf8(text)
             for x in wanted:
                 start, n = x["run"] >> 8, (x["run"] & 255) + SPAN
-                for column, v in zip(out, (x["anchor"], doc, start, raw[start : start + n]), strict=True):
-                    column.append(v)
+                context = raw[start : start + n]
+                if not x["deep"]:
+                    put(x["anchor"], doc, start, context)
+                    continue
+                data = np.frombuffer(context, np.uint8)
+                second, first, last = runs(data, np.array([n]), root=ROOTS[1])
+                key = _mix(np.array([x["anchor"]], np.int64).view(np.uint64) ^ _mix(second.view(np.uint64))).view(np.int64)
+                for k, a, z in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
+                    put(k, doc, start + a, context[a : z + SPAN])
         yield pa.RecordBatch.from_arrays(
             [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
             ["anchor", "doc", "start", "context"],
@@ -246,14 +326,23 @@ def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray
 
 def repeated(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
     """Positions, in the contexts end to end, whose SPAN bytes also start at a position of a smaller order
-    (an array over positions). Contexts are dealt into shards, and the shards' transforms are merged."""
+    (an array over positions). Where two blocks share a hash, other hashes are taken."""
+    for root in ROOTS:
+        found = _repeated(contexts, order, root)
+        if found is not None:
+            return found
+    raise ArithmeticError(f"blocks share a hash with each of {len(ROOTS)} multipliers")
+
+
+def _repeated(contexts: list[bytes], order: np.ndarray, root: int) -> np.ndarray | None:
+    """Contexts are dealt into shards, and the shards' transforms are merged; None if intervals turn out unequal."""
     size = np.array([len(x) for x in contexts])
     ends = np.cumsum(size)
     data = np.frombuffer(b"".join(contexts), np.uint8)
     n = len(data)
     own = np.repeat(np.arange(len(contexts)), size)
     left = ends[own] - np.arange(n)  # bytes to the context's end
-    hashes = Hashes(data)
+    hashes = Hashes(data, root)
     block = np.zeros(n, np.uint64)
     full = np.flatnonzero(left >= STRIDE)
     block[full] = _mix(hashes.of(full, full + STRIDE))
@@ -288,7 +377,7 @@ def repeated(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
         span = np.arange(SPAN)
         equal = (data[at[i][:, None] + span] == data[leader[i][:, None] + span]).all(axis=1)
         if not equal.all():
-            raise ArithmeticError("two blocks share a hash; use another root")
+            return None
         found.append(at[i])
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
@@ -346,13 +435,15 @@ def removed(docs: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession, 256)
     n = partitions(spark)
     texts = docs.select("doc", "text")
-    folded = texts.mapInArrow(_anchors, "anchor long, context long, doc long, run long").repartition(n, "anchor")
-    folded = written(folded.mapInArrow(_fold, "doc long, run long, anchor long, copy boolean"), "runs")
+    parsed = texts.mapInArrow(_anchors, "anchor long, c long, d long, doc long, run long, copy boolean")
+    # Copies need no company and are dealt by themselves, so that a common passage is no partition of its own.
+    dealt = parsed.repartition(n, F.when(F.col("copy"), F.xxhash64("doc", "run")).otherwise(F.col("anchor")))
+    folded = written(dealt.mapInArrow(_fold, "doc long, run long, anchor long, copy boolean, deep boolean"), "runs")
     start = F.shiftright("run", 8)
     copies = folded.filter("copy").select(
         "doc", start.alias("start"), (start + F.col("run").bitwiseAND(255) + SPAN).alias("end")
     )
-    wanted = folded.filter("not copy").groupBy("doc").agg(F.collect_list(F.struct("run", "anchor")).alias("wanted"))
+    wanted = folded.filter("not copy").groupBy("doc").agg(F.collect_list(F.struct("run", "anchor", "deep")).alias("wanted"))
     contexts = texts.join(wanted, "doc").mapInArrow(_fetch, "anchor long, doc long, start long, context binary")
     dealt = contexts.repartition(n, "anchor").sortWithinPartitions("anchor")
     return copies.unionByName(dealt.mapInArrow(_merge, "doc long, start long, end long"))

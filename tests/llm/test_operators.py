@@ -320,6 +320,53 @@ def test_bwt_chunks(spark, monkeypatch):
         assert got[k].n_removed == sum(gone)
 
 
+def removed_bytes(data):
+    """Brute force: by document, which bytes go."""
+    seen, out = set(), {}
+    for k, t in data:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(t[i : i + 100])
+        out[k] = gone
+    return out
+
+
+@pytest.mark.parametrize(("deep", "common", "roots"), [(12_000, 8, bwt_dedup.ROOTS), (1, 2, bwt_dedup.ROOTS), (3, 2, (1, 3, bwt_dedup.ROOTS[1]))])
+def test_bwt_hot_passages(monkeypatch, deep, common, roots):
+    """One passage in all documents with very many different contexts, many copies, texts of a few letters: the steps by
+    themselves, in small chunks and buckets; multipliers under which blocks collide are given up."""
+    for name, x in {"DEEP": deep, "COMMON": common, "CHUNK": 700, "BUCKET": 4000}.items():
+        monkeypatch.setattr(bwt_dedup, name, x)
+    monkeypatch.setattr(bwt_dedup, "ROOTS", roots) if roots[0] == 1 else None
+    rng = random.Random(len(roots))
+    some = lambda n, letters="abcdefgh ": "".join(rng.choice(letters) for _ in range(n))
+    passage, page = some(60), some(400)
+    data = [(k, some(90) + passage + some(90) if k % 3 else page) for k in range(60)] + [(k, some(130, "ab") + passage + some(10) + page[100:300]) for k in range(60, 75)]
+    data += [(75, "ab" * 200), (76, "ba" * 150)]
+    order = rng.sample(data, len(data))
+    batches = lambda rows: pa.RecordBatch.from_pydict({"doc": [k for k, _ in rows], "text": [t for _, t in rows]})
+    parsed = [b for at in (0, 30, 60) for b in bwt_dedup._anchors(iter([batches(order[at : at + 30])]))]
+    entries = pa.Table.from_batches(list(bwt_dedup._fold(iter(parsed)))).to_pylist()
+    gone = {k: bytearray(len(t)) for k, t in data}
+    wanted = {}
+    for x in entries:
+        a, z = x["run"] >> 8, (x["run"] >> 8) + (x["run"] & 255) + 100
+        if x["copy"]:
+            gone[x["doc"]][a:z] = b"\1" * (z - a)
+        else:
+            wanted.setdefault(x["doc"], []).append(x)
+    rows = [{"doc": k, "text": dict(data)[k], "wanted": w} for k, w in wanted.items()]
+    kind = pa.schema([("doc", pa.int64()), ("text", pa.string()), ("wanted", pa.list_(pa.struct([("run", pa.int64()), ("anchor", pa.int64()), ("deep", pa.bool_())])))])
+    fetched = pa.Table.from_batches(list(bwt_dedup._fetch(iter([pa.RecordBatch.from_pylist(rows, kind)])))).sort_by("anchor")
+    for b in bwt_dedup._merge(iter(fetched.to_batches())):
+        for x in b.to_pylist():
+            gone[x["doc"]][x["start"] : x["end"]] = b"\1" * (x["end"] - x["start"])
+    assert gone == removed_bytes(data)
+    assert any(x["deep"] for x in entries) == (deep < 12_000)
+
+
 def test_license(spark, docs, none):
     lines = ["Released under the MIT License.", "cc BY and CC-by", "Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "mit licenses"]
     got = by_id(license_join.scan(spark.createDataFrame([(k, x) for k, x in enumerate(lines)] + [(9, None)], "doc_id long, text string")))
