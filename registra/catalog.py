@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import decisions as D
 from .operators import mining, search, usage
 from .plans import registers as R
+from .plans.shared import written
 
 SOURCES = ("libya-248", "libya-500", "eu", "epa", "epa-cancelled", "canada", "australia")
 QUERIES = [(1, "cold widgt"), (2, "blue ring"), (3, "Cold  Widget"), (4, "1001-23-3"), (5, "see remark"), (6, "smal rings"), (7, "hot gear")]
@@ -69,7 +69,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return search.ranked(found(spark, sf_dir), search.LIMITS[mode])
+    """The first hits of each query, written once, as decisions look at them several times."""
+    return written(search.ranked(found(spark, sf_dir), search.LIMITS[mode]), "top")
 
 
 _DERIVED = "substr(CAST(100000 + {0} AS VARCHAR), 1, 4) || '-' || right(CAST(100000 + {0} AS VARCHAR), 2) || '-' || ({0} % 10)"
@@ -137,12 +138,12 @@ _HIT = ("qid", "row_id", "source_key", "v", "type", "field", "decisive", "candid
 
 @query(f"WITH {_TOP16} SELECT {', '.join(_HIT)} FROM top")
 def search_topk_farmer(spark, d):
-    return top(spark, d, "farmer").select(*_HIT)
+    return search.ranked(found(spark, d), search.LIMITS["farmer"]).select(*_HIT)
 
 
 @query(f"WITH {_TOP80} SELECT {', '.join(_HIT)} FROM top")
 def search_topk_pro(spark, d):
-    return top(spark, d, "pro").select(*_HIT)
+    return search.ranked(found(spark, d), search.LIMITS["pro"]).select(*_HIT)
 
 
 @query(f"WITH {_HITS} SELECT qid, row_id, v, type, field FROM hits WHERE type = 'cas'")
@@ -165,18 +166,20 @@ def merge_best_per_row(spark, d):
     return search.merged(found(spark, d).withColumn("batch", F.col("qid") % 2)).select("batch", "row_id", "qid", "v", "pos")
 
 
-_JUDGED = f"""{_REG}, l AS (SELECT row_id, source_key, cas, lower(name) AS s FROM reg),
-qn AS (SELECT qid, trim(regexp_replace(regexp_replace(lower(q), '\\s*-\\s*', '-', 'g'), '\\s+', ' ', 'g')) AS q FROM asked), judged AS (
+_JUDGED = f"""{_TOP16}, l AS (SELECT row_id, source_key, cas, lower(name) AS s FROM reg),
+qn AS (
+  SELECT qid, trim(regexp_replace(regexp_replace(lower(q), '\\s*-\\s*', '-', 'g'), '\\s+', ' ', 'g')) AS q FROM asked WHERE NOT regexp_matches(q, '^\\d{{2,7}}-\\d{{2}}-\\d$')
+), cand AS (SELECT qid, row_id FROM top UNION SELECT qid, row_id FROM qn JOIN l ON q = s), judged AS (
   SELECT qid, row_id, source_key, cas, CASE WHEN q = s THEN 'exact' WHEN contains(q, s) OR contains(s, q) THEN 'similar'
     WHEN array_to_string(regexp_extract_all(q, '\\d+'), ' ') <> array_to_string(regexp_extract_all(s, '\\d+'), ' ') THEN 'similar'
     WHEN levenshtein(q, s) <= CASE WHEN least(length(q), length(s)) < 5 THEN 0 WHEN least(length(q), length(s)) <= 8 THEN 1 ELSE 2 END THEN 'probable' END AS verdict
-  FROM qn, l
+  FROM cand JOIN qn USING (qid) JOIN l USING (row_id)
 )"""
 
 
 @query(f"WITH {_JUDGED} SELECT qid, row_id, verdict FROM judged WHERE verdict IS NOT NULL")
 def judge_name_verdict(spark, d):
-    return D.verdicts(asked(spark), register(spark, d)).select("qid", "row_id", "verdict")
+    return D.verdicts(asked(spark), register(spark, d), top(spark, d, "farmer")).select("qid", "row_id", "verdict")
 
 
 @query(
@@ -189,7 +192,7 @@ def judge_name_verdict(spark, d):
 )
 def judge_per_source(spark, d):
     reg = register(spark, d)
-    return D.per_source(D.verdicts(asked(spark), reg), reg)
+    return D.per_source(D.verdicts(asked(spark), reg, top(spark, d, "farmer")), reg)
 
 
 _DIGITS = "[CAST(x AS INTEGER) FOR x IN string_split(reverse(replace(cas, '-', '')), '')]"
@@ -238,28 +241,52 @@ def ambiguity_pairs(spark, d):
 _COLLAPSE = """, ident AS (
   SELECT *, CASE WHEN regexp_matches(trim(field), '^\\d{2,7}-\\d{2}-\\d$') THEN 'cas:' || trim(field) ELSE 'name:' || lower(name) END AS ident FROM src
 ), g AS (
-  SELECT qid, source_key, ident, count(DISTINCT trim(status)) AS ns, count(DISTINCT pc_code) AS nc, min(pos) AS first_pos,
-    array_to_string(list_distinct(list(nullif(cas, '') ORDER BY pos)), ',') AS cs FROM ident GROUP BY ALL
+  SELECT qid, source_key, ident, count(DISTINCT trim(status)) AS ns, count(DISTINCT nullif(pc_code, '')) AS nc, min(pos) AS first_pos FROM ident GROUP BY ALL
+), m AS (
+  SELECT qid, source_key, ident, count(*) AS nm, string_agg(cas, ',' ORDER BY p) AS cs
+  FROM (SELECT qid, source_key, ident, cas, min(pos) AS p FROM ident WHERE cas <> '' GROUP BY ALL) GROUP BY ALL
 ), c AS (
   SELECT *, row_number() OVER (PARTITION BY qid, source_key, ident ORDER BY v DESC, row) AS n FROM ident
-) SELECT c.qid, c.row_id, c.v, g.first_pos FROM c JOIN g USING (qid, source_key, ident) WHERE ns > 1 OR nc > 1 OR n = 1"""
+) SELECT c.qid, c.row_id, c.v, g.first_pos, CASE WHEN ns <= 1 AND nc <= 1 AND nm > 1 THEN cs END AS merged_cas
+  FROM c JOIN g USING (qid, source_key, ident) LEFT JOIN m USING (qid, source_key, ident) WHERE ns > 1 OR nc > 1 OR n = 1"""
+_COLLAPSED = ("qid", "row_id", "v", "first_pos", "merged_cas")
 
 
-@query(f"WITH {_TOP80}, src AS (SELECT * REPLACE (substr(status, 1, 6) AS status, '' AS pc_code) FROM top)" + _COLLAPSE.replace("count(DISTINCT pc_code)", "0"))
+@query(f"WITH {_TOP80}, src AS (SELECT * FROM top)" + _COLLAPSE)
 def collapse_same_source(spark, d):
-    hits = top(spark, d, "pro").withColumn("status", F.substring("status", 1, 6)).withColumn("pc_code", F.lit(""))
-    return D.collapse_same_source(hits).select("qid", "row_id", "v", "first_pos")
+    return D.collapse_same_source(top(spark, d, "pro")).select(*_COLLAPSED)
 
 
-@query(
-    f"""WITH {_TOP80}, sure AS (SELECT DISTINCT qid, lower(name) || '|' || cas AS what FROM top WHERE decisive), src AS (
-  SELECT top.* FROM top WHERE lower(name) || '|' || cas IN (SELECT what FROM sure WHERE sure.qid = top.qid)
+@query(f"WITH {_TOP80}, src AS (SELECT * REPLACE ('listed' AS status, '' AS pc_code) FROM top)" + _COLLAPSE)
+def collapse_merged(spark, d):
+    """Hits of a register that has neither statuses nor codes of its own, so that they do collapse."""
+    hits = top(spark, d, "pro").withColumn("status", F.lit("listed")).withColumn("pc_code", F.lit(""))
+    return D.collapse_same_source(hits).select(*_COLLAPSED)
+
+
+_VIA = """, sure AS (SELECT qid, lower(name) || '|' || cas AS what, string_split(lower(via), ' ') AS words FROM hit WHERE decisive), src AS (
+  SELECT h.* FROM hit h WHERE qid IN (SELECT qid FROM sure) AND (
+    lower(name) || '|' || cas IN (SELECT what FROM sure WHERE sure.qid = h.qid)
+    OR (via <> '' AND NOT EXISTS (SELECT 1 FROM sure WHERE sure.qid = h.qid AND list_has_all(words, string_split(lower(via), ' '))))
+  )
 )"""
-    + _COLLAPSE
-    + " UNION ALL SELECT qid, row_id, v, NULL FROM top WHERE qid NOT IN (SELECT qid FROM sure)"
+
+
+@query(
+    f"WITH {_TOP80}, hit AS (SELECT *, '' AS via FROM top){_VIA}" + _COLLAPSE
+    + " UNION ALL SELECT qid, row_id, v, NULL, NULL FROM top WHERE qid NOT IN (SELECT qid FROM sure)"
 )
 def collapse_decisive(spark, d):
-    return D.collapse_to_decisive(top(spark, d, "pro").withColumn("via", F.lit(""))).select("qid", "row_id", "v", "first_pos")
+    return D.collapse_to_decisive(top(spark, d, "pro").withColumn("via", F.lit(""))).select(*_COLLAPSED)
+
+
+@query(
+    f"WITH {_TOP80}, hit AS (SELECT *, name AS via FROM top){_VIA}" + _COLLAPSE
+    + " UNION ALL SELECT qid, row_id, v, NULL, NULL FROM top WHERE qid NOT IN (SELECT qid FROM sure)"
+)
+def collapse_reads(spark, d):
+    """As collapse_decisive, each hit having come from a read of its own name's words."""
+    return D.collapse_to_decisive(top(spark, d, "pro").withColumn("via", F.col("name"))).select(*_COLLAPSED)
 
 
 @query(f"WITH {_TOP16} SELECT qid, row_id, pos AS place FROM top WHERE source_key IN ('libya-248', 'libya-500')")
@@ -303,9 +330,10 @@ def near_pairs(spark, d):
     return D.near_names(names.withColumn("cas", derived_cas(F.col("id"))))
 
 
-@query("SELECT l_suppkey AS cas, count(DISTINCT l_partkey) AS names, count(*) AS refs FROM lineitem GROUP BY l_suppkey")
+@query(f"SELECT {_DERIVED.format('l_suppkey')} AS cas, count(DISTINCT l_partkey) AS names, count(*) AS refs FROM lineitem GROUP BY l_suppkey")
 def shared_identifier(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cas")).agg(F.countDistinct("l_partkey").alias("names"), F.count(F.lit(1)).alias("refs"))
+    rows = table(spark, d, "lineitem").select(derived_cas(F.col("l_suppkey")).alias("cas"), F.concat(F.lit("Part "), "l_partkey").alias("name"))
+    return D.shared_identifiers(rows)
 
 
 _SIG = "CASE WHEN regexp_matches(cas, '\\d{2,7}-\\d{2}-\\d') THEN cas ELSE '' END"
@@ -367,14 +395,17 @@ def code_lookup_fallback(spark, d):
 
 
 @query(
-    f"""WITH {_REG}, m AS (SELECT source_key AS list_id, name, cas FROM reg WHERE row_id % 97 = 5)
+    f"""WITH {_REG}, m AS (
+  SELECT p_type AS list_id, p_name AS name, '' AS cas FROM part UNION ALL SELECT 'suppliers', s_name, {_DERIVED.format("s_suppkey")} FROM supplier
+)
 SELECT DISTINCT row_id AS id, list_id FROM reg JOIN m ON reg.cas = m.cas AND regexp_matches(reg.cas, '^\\d') UNION
-SELECT DISTINCT row_id, list_id FROM reg JOIN m ON lower(reg.name) = lower(m.name)"""
+SELECT DISTINCT row_id, list_id FROM reg JOIN (SELECT DISTINCT list_id, lower(name) AS n FROM m) m ON lower(reg.name) = m.n"""
 )
 def alert_membership(spark, d):
-    reg = register(spark, d)
-    listed = reg.filter("row_id % 97 = 5").select(F.col("source_key").alias("list_id"), "name", "cas")
-    return R.memberships(reg.select(F.col("row_id").alias("id"), "name", "cas"), listed)
+    reg = register(spark, d).select(F.col("row_id").alias("id"), "name", "cas")
+    named = table(spark, d, "part").select(F.col("p_type").alias("list_id"), F.col("p_name").alias("name"), F.lit("").alias("cas"))
+    numbered = table(spark, d, "supplier").select(F.lit("suppliers").alias("list_id"), F.col("s_name").alias("name"), derived_cas(F.col("s_suppkey")).alias("cas"))
+    return R.memberships(reg, named.union(numbered))
 
 
 @query(
@@ -412,14 +443,33 @@ def dedupe_longest(spark, d):
     return R.longest_wins(rows, ["lang", "source"], "text", "doc_id").select("lang", "source", "doc_id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row FROM orders")
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row FROM orders")
 def renumber_rows(spark, d):
-    return R.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "row")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return R.numbered(rows, "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority", "row")
 
 
-@query("SELECT n AS o_orderkey FROM (SELECT unnest(range(1, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 7 <> 3) + 1)) AS n) WHERE n NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 3)")
+@query("SELECT n AS o_custkey FROM (SELECT unnest(range(1, (SELECT max(o_custkey) FROM orders) + 1)) AS n) WHERE n NOT IN (SELECT o_custkey FROM orders)")
 def sequence_check(spark, d):
-    return R.gaps(table(spark, d, "orders").filter("o_orderkey % 7 <> 3"), "o_orderkey")
+    return R.missing_numbers(table(spark, d, "orders"), "o_custkey")
+
+
+@query(
+    """WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS t FROM orders)
+SELECT o_orderkey, place, 'repeated' AS fault FROM n WHERE t > 1 UNION ALL SELECT o_orderkey, place, 'misplaced' FROM n WHERE o_custkey <> place
+UNION ALL SELECT o_orderkey, place, 'nonpositive' FROM n WHERE o_custkey <= 0"""
+)
+def sequence_faults(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return R.sequence_faults(rows, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "place", "fault")
+
+
+@query(
+    """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, greatest(1, count(*) OVER () // 100) AS step FROM orders)
+WHERE i % step = 0"""
+)
+def every_nth(spark, d):
+    return R.every_nth(table(spark, d, "orders").select("o_orderkey"), 100, "o_orderkey")
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -461,20 +511,6 @@ def error_burst(spark, d):
     return usage.bursts(_events(spark, d), "error", "user_id", 2, 86_400_000).select("event_id", "recent")
 
 
-@query(
-    """WITH r AS (SELECT conv_id AS scan_id, turn AS read, [regexp_replace(lower(x), '[^a-z]', '', 'g') FOR x IN string_split(text, ' ')[1:3]] AS names, length(text) % 100 AS conf FROM conversations),
-v AS (SELECT a.scan_id, a.read, a.conf, count(*) FILTER (WHERE a.read = b.read OR list_has_any(a.names, b.names) OR
-    len([1 FOR x IN a.names IF len([1 FOR y IN b.names IF length(x) >= 6 AND length(y) >= 6 AND (contains(x, y) OR contains(y, x))]) > 0]) > 0) AS votes
-  FROM r a JOIN r b USING (scan_id) GROUP BY ALL)
-SELECT scan_id, read, votes, CAST(conf * least(votes, 12) AS BIGINT) AS pooled, row_number() OVER (PARTITION BY scan_id ORDER BY votes DESC, conf * least(votes, 12) DESC, read) AS place FROM v"""
-)
-def frame_vote(spark, d):
-    names = F.transform(F.slice(F.split("text", " "), 1, 3), lambda x: F.regexp_replace(F.lower(x), "[^a-z]", ""))
-    reads = table(spark, d, "conversations").select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("read"), F.array().cast("array<string>").alias("cas"), names.alias("names"), (F.length("text") % 100).alias("conf"))
-    v = mining.votes(reads)
-    return v.select("scan_id", "read", "votes", F.col("pooled").cast("bigint").alias("pooled"), F.col("place").cast("bigint").alias("place"))
-
-
 @query(
     """WITH r AS (SELECT conv_id AS scan_id, turn AS read, length(text) % 100 AS conf, regexp_extract_all(text, '\\d{2,7}-\\d{2}-\\d') AS cas,
   list_distinct(list_filter([regexp_replace(lower(x), '[^a-z]', '', 'g') FOR x IN regexp_split_to_array(text, '[ \\t\\n\\r]+')], lambda x: x <> '')) AS names FROM conversations),
@@ -483,8 +519,8 @@ v AS (SELECT a.scan_id, a.read, a.conf, count(*) FILTER (WHERE a.read = b.read O
   FROM r a JOIN r b USING (scan_id) GROUP BY ALL)
 SELECT scan_id, read, votes, CAST(conf * least(votes, 12) AS BIGINT) AS pooled, row_number() OVER (PARTITION BY scan_id ORDER BY votes DESC, conf * least(votes, 12) DESC, read) AS place FROM v"""
 )
-def frame_vote_whole(spark, d):
-    """frame_vote over all words and identifiers of the texts; frame_vote's own SQL fixes the first three words."""
+def frame_vote(spark, d):
+    """Turns of a conversation as reads of a scan, by all their words and identifiers."""
     words = F.transform(F.split("text", "[ \\t\\n\\r]+"), lambda x: F.regexp_replace(F.lower(x), "[^a-z]", ""))
     names = F.array_distinct(F.filter(words, lambda x: x != ""))
     reads = table(spark, d, "conversations").select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("read"), T.cas_numbers(F.col("text")).alias("cas"), names.alias("names"), (F.length("text") % 100).alias("conf"))
@@ -498,7 +534,9 @@ _RATIO = "CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN length(regexp
 @query(f"SELECT doc_id, round(r, 9) AS ratio, CASE WHEN r < 0.6 THEN 'mixed' WHEN doc_id % 100 < 45 THEN 'conf' END AS reason FROM (SELECT doc_id, {_RATIO} AS r FROM documents)")
 def latin_ratio_gate(spark, d):
     none = F.array().cast("array<string>")
-    return table(spark, d, "documents").select("doc_id", F.round(T.latin_ratio(F.col("text")), 9).alias("ratio"), T.rejected_reason(F.col("text"), none, F.col("doc_id") % 100).alias("reason"))
+    rows = table(spark, d, "documents").select("doc_id", "text", T.latin_ratio(F.col("text")).alias("r"))
+    reason = T.rejected_reason(F.col("text"), none, F.col("doc_id") % 100, F.col("r"))
+    return rows.select("doc_id", F.round("r", 9).alias("ratio"), reason.alias("reason"))
 
 
 @query("SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text || ' x' || chr(1576) || 'y', '[\\p{L}\\p{M}]+'), lambda w: regexp_matches(w, '[\\x{0600}-\\x{06FF}]') AND regexp_matches(w, '\\p{Latin}'))) AS BIGINT) AS n FROM documents")
@@ -513,21 +551,80 @@ def cjk_scan(spark, d):
     return table(spark, d, "pages").select("page_id", T.foreign_characters(text).cast("bigint").alias("n"))
 
 
-@query()
+_SPACES = "[ \\t\\n\\x0b\\f\\r\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+_MARKS = _SPACES[1:-1]
+_LETTER = "[A-Za-z\\x{0600}-\\x{06FF}]"
+_CANDIDATES = f"""l AS (
+  SELECT doc_id, i, regexp_replace(regexp_replace(x, '^{_SPACES}+', ''), '{_SPACES}+$', '') AS line
+  FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS s FROM texts))
+), h AS (
+  SELECT *, regexp_matches(line, '(?i)active\\s*ingredients?') AND NOT regexp_matches(line, '(?i)\\bin\\s*active') AS header FROM l
+), c AS (SELECT *, bool_or(header) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM h),
+k AS (
+  SELECT *, bool_or(header) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prio,
+    first_value(near) OVER (PARTITION BY doc_id, line ORDER BY i) AS ctx, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM c WHERE length(line) BETWEEN CASE WHEN near THEN 3 ELSE 4 END AND 60 AND regexp_matches(line, '{_LETTER}{{3}}')
+), w AS (
+  SELECT *, trim(regexp_replace(regexp_replace(line, '[^A-Za-z0-9_{_MARKS}\\x{{0600}}-\\x{{06FF}}.-]', ' ', 'g'), '{_SPACES}+', ' ', 'g')) AS clean FROM k
+), f AS (
+  SELECT *, CASE WHEN length(clean) < CASE WHEN ctx THEN 3 ELSE 4 END THEN [] ELSE list_filter(string_split(clean, ' '), lambda x:
+      length(x) >= CASE WHEN ctx THEN 3 ELSE 4 END AND regexp_matches(x, CASE WHEN ctx THEN '^{_LETTER}+$' ELSE '{_LETTER}' END)) END AS own,
+    CASE WHEN length(clean) < CASE WHEN near THEN 3 ELSE 4 END THEN [] ELSE list_filter(string_split(clean, ' '), lambda x:
+      length(x) >= CASE WHEN near THEN 3 ELSE 4 END AND regexp_matches(x, CASE WHEN near THEN '^{_LETTER}+$' ELSE '{_LETTER}' END)) END AS words
+  FROM w
+), g AS (
+  SELECT doc_id, j, words AS a, lead(words) OVER (PARTITION BY doc_id ORDER BY j) AS b, lead(words, 2) OVER (PARTITION BY doc_id ORDER BY j) AS c FROM f
+), r AS (
+  SELECT doc_id, CASE WHEN prio THEN 0 ELSE 1 END AS grp, j, 0 AS kind, 0 AS pl, clean AS t FROM f WHERE length(clean) >= CASE WHEN ctx THEN 3 ELSE 4 END
+  UNION ALL SELECT doc_id, CASE WHEN prio THEN 0 ELSE 1 END, j, n, p, array_to_string(own[p : p + n - 1], ' ')
+    FROM (SELECT *, unnest(range(1, len(own) - n + 2)) AS p FROM f, (VALUES (1), (2), (3)) v(n) WHERE len(own) >= n)
+  UNION ALL SELECT doc_id, 2, j, 0, 0, a[-1] || ' ' || b[1] FROM g WHERE len(a) > 0 AND len(b) > 0
+  UNION ALL SELECT doc_id, 2, j, 1, 0, a[-2] || ' ' || a[-1] || ' ' || b[1] FROM g WHERE len(a) > 1 AND len(b) > 0
+  UNION ALL SELECT doc_id, 2, j, 2, 0, a[-1] || ' ' || b[1] || ' ' || b[2] FROM g WHERE len(a) > 0 AND len(b) > 1
+  UNION ALL SELECT doc_id, 3, j, 0, 0, a[-1] || ' ' || b[1] || ' ' || c[1] FROM g WHERE len(a) > 0 AND len(b) > 0 AND len(c) > 0
+), o AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY grp, j, kind, pl) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY grp, j, kind, pl) AS u FROM r) WHERE u = 1)
+SELECT doc_id, n - 1 AS pos, t AS candidate FROM o WHERE n <= 40"""
+
+
+@query(f"WITH texts AS (SELECT doc_id, text FROM documents), {_CANDIDATES}")
 def ngram_candidates(spark, d):
-    return table(spark, d, "documents").select("doc_id", mining.extract_candidates("text").alias("candidates"))
+    out = mining.candidates_of(table(spark, d, "documents"), "doc_id", "text")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS gtin, p_brand AS batch, NULL::VARCHAR AS serial, CAST(p_size AS VARCHAR) AS count FROM part")
+_LABELS = "'Net contents ' || p_size || chr(10) || 'ACTIVE INGREDIENTS:' || chr(10) || upper(p_name) || chr(10) || 'of 75% wt.' || chr(10) || p_name || chr(10) || p_type || ' ' || p_brand"
+
+
+@query(f"WITH texts AS (SELECT p_partkey AS doc_id, {_LABELS} AS text FROM part), {_CANDIDATES}")
+def label_candidates(spark, d):
+    """Candidates of texts that have the ingredients' section."""
+    p, line = table(spark, d, "part"), F.lit("\n")
+    text = F.concat(F.lit("Net contents "), "p_size", line, F.lit("ACTIVE INGREDIENTS:"), line, F.upper("p_name"), line, F.lit("of 75% wt."), line, "p_name", line, "p_type", F.lit(" "), "p_brand")
+    out = mining.candidates_of(p.select(F.col("p_partkey").alias("doc_id"), text.alias("text")), "doc_id", "text")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+_GS1 = "'(01)' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '(10) ' || p_brand || '(30)' || p_size"
+_FIELD = "nullif(trim(regexp_extract(code, '\\({0}\\)([^(]*)', 1)), '') AS {1}"
+
+
+@query(f"SELECT p_partkey, {', '.join(_FIELD.format(k, v) for k, v in T.GS1.items())} FROM (SELECT p_partkey, {_GS1} AS code FROM part)")
 def gs1_parse(spark, d):
     code = F.concat(F.lit("(01)"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("(10) "), F.col("p_brand"), F.lit("(30)"), F.col("p_size").cast("string"))
     return table(spark, d, "part").select("p_partkey", *[T.gs1_field(code, x).alias(x) for x in ("gtin", "batch", "serial", "count")])
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT p_partkey, {_DERIVED.format("p_partkey")} AS good FROM part), t AS (
+  SELECT p_partkey, CASE WHEN regexp_matches(good, '[05]') THEN [] ELSE [good] END || [good] || CASE WHEN contains(good, '5') THEN [replace(good, '5', '3')] ELSE [] END AS xs FROM c
+), u AS (SELECT p_partkey, unnest(xs) AS cas, unnest(range(len(xs))) AS i FROM t)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS pos, cas FROM (SELECT p_partkey, cas, min(i) AS i FROM u GROUP BY ALL) WHERE cas[1] <> '0'"""
+)
 def digit_confusion_repair(spark, d):
-    c = F.concat(F.lit("CAS "), F.translate(derived_cas(F.col("p_partkey")), "05", "OS"))
-    return table(spark, d, "part").select("p_partkey", mining.extract_identifiers(c).alias("found"))
+    text = F.concat(F.lit("CAS "), F.translate(derived_cas(F.col("p_partkey")), "05", "OS"), F.lit("\nBatch "), derived_cas(F.col("p_partkey")))
+    out = mining.identifiers_of(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("SELECT p_partkey, sha256(p_name || '|' || p_brand || '|' || p_type) AS fingerprint FROM part")
@@ -535,21 +632,22 @@ def fingerprint(spark, d):
     return table(spark, d, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("fingerprint"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0 EXCEPT ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0")
+@query(
+    """WITH a AS (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'a' ELSE 'b' END AS side, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS n
+FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""
+)
 def parity_except(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    return p.filter("p_partkey % 3 = 0").exceptAll(p.filter("p_partkey % 2 = 0"))
+    return R.parity(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query(
     """SELECT coalesce(a.k, b.k) AS k, a.f AS a, b.f AS b, CASE WHEN b.k IS NULL THEN 'only_a' WHEN a.k IS NULL THEN 'only_b' WHEN a.f IS NOT DISTINCT FROM b.f THEN 'same' ELSE 'changed' END AS class
-FROM (SELECT p_partkey AS k, p_type AS f FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'X' ELSE p_type END AS f FROM part WHERE p_partkey % 3 < 2) b ON a.k = b.k"""
+FROM (SELECT s_suppkey * 2 AS k, s_nationkey AS f FROM supplier) a FULL JOIN (SELECT c_custkey AS k, c_nationkey AS f FROM customer) b ON a.k = b.k"""
 )
 def set_compare(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_type", "p_size")
-    a = p.filter("k % 3 > 0").select("k", F.col("p_type").alias("f"))
-    b = p.filter("k % 3 < 2").select("k", F.when(F.col("p_size") > 40, "X").otherwise(F.col("p_type")).alias("f"))
-    return R.register_diff(a, b, "k", "f")
+    a = table(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("k"), F.col("s_nationkey").alias("f"))
+    return R.register_diff(a, table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("f")), "k", "f")
 
 
 @query("SELECT n_nationkey, 'Nation NATION_' || n_nationkey || ' of region ' || n_regionkey AS text FROM nation")
@@ -558,15 +656,9 @@ def i18n_template(spark, d):
     return table(spark, d, "nation").select("n_nationkey", text.alias("text"))
 
 
-@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type) AS n FROM events) a WHERE n > (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id % 2 = 0)")
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 def multiset_difference(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    left = e.select("user_id", "event_type").withColumn("one", F.lit(1))
-    out = R.multiset_difference(left, e.filter("event_id % 2 = 0").select("user_id", "event_type"), ["user_id", "event_type"])
-    w = Window.partitionBy("user_id", "event_type").orderBy("user_id")
-    taken = e.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("k"))
-    out = out.withColumn("i", F.row_number().over(w)).join(taken, ["user_id", "event_type"], "left")
-    return out.select("user_id", "event_type", (F.col("i") + F.coalesce("k", F.lit(0))).alias("n"))
+    return R.multiset_difference(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size + 250 + 0.3 * least(p_retailprice, 100) WHEN p_size < 20 THEN p_size + 200 + 0.3 * least(p_retailprice, 100) ELSE p_size + 0.3 * least(p_retailprice, 100) END AS score FROM part")

@@ -173,19 +173,27 @@ def code_parts(c: Column, known: Column) -> Column:
     return F.flatten(F.transform(hard, dotted))
 
 
+LATIN = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+#: The characters of SPACE, one by one.
+BLANKS = "\t\n\x0b\x0c\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
+def _without(c: Column, characters: str) -> Column:
+    return F.length(F.translate(c, characters, ""))
+
+
 def latin_ratio(c: Column) -> Column:
     """Latin letters by visible characters; 1 for none."""
-    seen = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, ""))
-    latin = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z]", ""))
-    return F.when(seen == 0, F.lit(1.0)).otherwise(latin / seen)
+    c = F.coalesce(c, F.lit(""))
+    seen = _without(c, BLANKS)
+    return F.when(seen == 0, F.lit(1.0)).otherwise((F.length(c) - _without(c, LATIN)) / seen)
 
 
-def rejected_reason(text: Column, cas: Column, conf: Column) -> Column:
-    """mixed, conf or null; a valid identifier waives both."""
+def rejected_reason(text: Column, cas: Column, conf: Column, ratio: Column | None = None) -> Column:
+    """mixed, conf or null; a valid identifier waives both. ratio: the text's latin_ratio, where it is there already."""
     valid = F.coalesce(F.exists(cas, lambda x: F.coalesce(cas_checksum(x), F.lit(False))), F.lit(False))
-    return F.when(~valid & (latin_ratio(text) < 0.6), F.lit("mixed")).when(
-        ~valid & F.coalesce(conf < 45, F.lit(False)), F.lit("conf")
-    )
+    ratio = latin_ratio(text) if ratio is None else ratio
+    return F.when(~valid & (ratio < 0.6), F.lit("mixed")).when(~valid & F.coalesce(conf < 45, F.lit(False)), F.lit("conf"))
 
 
 def pass_score(best: Column, exact_cas: Column, exact_name: Column, conf: Column) -> Column:

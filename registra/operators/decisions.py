@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..plans.fuzzy import near_pairs
 
 #: The sources that the plain mode shows.
 HOME = ("libya-248", "libya-500")
@@ -17,20 +18,19 @@ def first_cas(c: Column) -> Column:
     return F.trim(F.element_at(F.split(F.coalesce(c, F.lit("")), r"[\n\[\]]"), 1))
 
 
-def verdicts(queries: DataFrame, register: DataFrame) -> DataFrame:
-    """qid, source_key, row_id, verdict: the best of a row's lines for each query, exact names by key.
-
-    queries and register are compared by distinct lines, so that the edit distance is computed once for a
-    pair of texts. A stated, bounded query set is sent to the lines."""
+def verdicts(queries: DataFrame, register: DataFrame, found: DataFrame) -> DataFrame:
+    """qid, source_key, row_id, verdict, level: of each name query the rows that the index has under its very name (a
+    line or the head of one), which are exact, and those that the search found (found: qid, row_id), each judged by
+    the best of its lines. Queries that are identifiers have no name verdicts (cas_verdict)."""
     lines = register.select("row_id", "source_key", F.explode(F.split("name", r"\n+")).alias("raw"))
-    keys = lines.select("row_id", "source_key", F.explode(F.array_distinct(F.array(T.verdict_key(F.col("raw")), T.head_name(F.col("raw"))))).alias("key"))
-    keys = keys.filter("key <> ''")
-    q = queries.select("qid", T.verdict_key(F.col("q")).alias("qk")).filter("qk <> ''")
-    texts = lines.select(T.verdict_key(F.col("raw")).alias("key")).distinct()
-    near = q.join(texts, F.lit(True)).select("qid", "key", T.judge_name(F.col("qk"), F.col("key")).alias("verdict"))
-    whole = lines.select("row_id", "source_key", T.verdict_key(F.col("raw")).alias("key"))
-    judged = whole.join(near.filter("verdict IS NOT NULL"), "key").select("qid", "source_key", "row_id", "verdict")
-    exact = q.join(keys, q.qk == keys.key).select("qid", "source_key", "row_id", F.lit("exact").alias("verdict"))
+    lines = lines.select("row_id", "source_key", T.verdict_key(F.col("raw")).alias("key"), T.head_name(F.col("raw")).alias("head"))
+    number = F.get(T.parse_cas_cell(F.col("q")), F.lit(0))["cas"]
+    q = queries.select("qid", T.verdict_key(F.col("q")).alias("qk"), F.replace(number, F.lit("-"), F.lit("")).alias("_d"))
+    q = q.filter("qk <> ''").filter(F.col("_d").isNull() | (F.col("_d") != F.regexp_replace("qk", "[^0-9]", ""))).drop("_d")
+    keys = lines.select("row_id", "source_key", F.explode(F.array_distinct(F.array("key", "head"))).alias("qk")).filter("qk <> ''")
+    exact = q.join(keys, "qk").select("qid", "source_key", "row_id", F.lit("exact").alias("verdict"))
+    hit = found.select("qid", "row_id").distinct().join(q, "qid").join(lines, "row_id")
+    judged = hit.select("qid", "source_key", "row_id", T.judge_name(F.col("qk"), F.col("key")).alias("verdict")).filter("verdict IS NOT NULL")
     level = F.when(F.col("verdict") == "exact", 3).when(F.col("verdict") == "probable", 2).otherwise(1)
     best = judged.union(exact).groupBy("qid", "source_key", "row_id").agg(F.max(level).alias("level"))
     names = F.element_at(F.array(F.lit("similar"), F.lit("probable"), F.lit("exact")), F.col("level"))
@@ -212,8 +212,6 @@ def dissected_status(source: Column, status: Column, raw: Column, expiry: Column
 def near_names(rows: DataFrame) -> DataFrame:
     """rows: id, name, cas. Pairs a < b of different identifiers whose names are equal, contain one another
     (0.72 of the length at least) or are within a fifth of the longer name's edits: a, b, type, v."""
-    from ..plans.fuzzy import near_pairs
-
     keyed = rows.filter(F.coalesce("name", F.lit("")) != "").select(
         "id", T.compact(T.norm(F.col("name"))).alias("n"),
         F.coalesce(F.nullif(F.array_join(T.cas_numbers(F.col("cas")), ","), F.lit("")), F.lit("none")).alias("sig"),

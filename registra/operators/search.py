@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.text import js_round
 from ..plans.fuzzy import near_pairs
+from ..plans.shared import written
 
 MIN_SCORE = 80
 LIMITS = {"farmer": 16, "pro": 80}
@@ -44,41 +46,34 @@ def _asked(queries: DataFrame) -> DataFrame:
     return keyed.withColumn("cq", T.compact(F.col("nq")))
 
 
-def _state(v: Column, kind: Column, field: Column) -> Column:
-    return F.struct(v.cast("bigint").alias("v"), kind.alias("type"), field.alias("field"))
-
-
-def _better(state: Column, raw: Column, holds: Column, kind: str, field: str) -> Column:
-    """state, or the rule's value, rounded, where it holds and the raw value is above the rounded best."""
-    wins = F.coalesce(holds & (raw > state["v"]), F.lit(False))
-    return F.when(wins, _state(T.js_round(raw), F.lit(kind), F.lit(field))).otherwise(state)
-
-
-def _rules(nq: Column, cq: Column, key: Column, short: Column, field: str, state: Column) -> Column:
-    a, b = F.length(nq), F.length(key)
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Pairs (nq, cq; n, c: a text's keys) with what the rules need of them, computed once a pair of texts: equal,
+    partial (raw score of containment, or null), similar (raw score by edits, or null)."""
+    a, b = F.length("nq"), F.length("n")
     ratio = F.least(a, b) / F.greatest(a, b, F.lit(1))
-    inside = (a >= 4) & (b >= 4) & (ratio >= 0.72) & (F.contains(key, nq) | F.contains(nq, key))
-    state = _better(state, ratio * 96, inside, "partial", field)
-    longest = F.greatest(F.length(cq), F.length(short))
-    raw = 100 - F.levenshtein(cq, short) / F.greatest(longest, F.lit(1)) * 100
-    return _better(state, raw, longest > 0, "similar", field)
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    start = _state(F.lit(0), F.lit(""), F.lit(""))
-    by_name = F.when(F.col("nname").isNotNull(), _rules(F.col("nq"), F.col("cq"), F.col("nname"), F.col("cname"), "name", start)).otherwise(start)
-    df = pairs.withColumn("_n", by_name)
-    n = F.col("_n")
-    same = (F.col("nq") == F.col("ncas")) & (n["v"] < 100)
-    by_cas = (
-        F.when(F.col("ncas").isNull(), n)
-        .when(same, _state(F.lit(100), F.lit("name"), F.lit("cas")))
-        .otherwise(_rules(F.col("nq"), F.col("cq"), F.col("ncas"), F.col("ccas"), "cas", n))
+    inside = (a >= 4) & (b >= 4) & (ratio >= 0.72) & (F.contains("n", "nq") | F.contains("nq", "n"))
+    longest = F.greatest(F.length("cq"), F.length("c"))
+    similar = 100 - F.levenshtein("cq", "c") / F.greatest(longest, F.lit(1)) * 100
+    facts = F.struct(
+        (F.col("nq") == F.col("n")).alias("equal"), F.when(inside, ratio * 96).alias("partial"), F.when(longest > 0, similar).alias("similar")
     )
-    exact = F.coalesce(F.col("nq") == F.col("nname"), F.lit(False))
-    df = df.withColumn("_c", by_cas)
-    score = F.when(exact, _state(F.lit(100), F.lit("name"), F.lit("name"))).otherwise(F.col("_c"))
-    return df.withColumn("s", score).withColumn("decisive", exact).drop("_n", "_c")
+    return pairs.withColumn("x", facts)
+
+
+def _score(name: Column, cell: Column) -> Column:
+    """struct<v, type, field> from the facts of a row's name and of its cell of identifiers: the rules in order, each
+    replacing the rounded best by a larger raw value. A text that is no pair's has null facts: all its raw values
+    would round to less than the cut."""
+    rule = lambda raw, kind, field: F.struct(raw.cast("double").alias("raw"), F.lit(kind).alias("type"), F.lit(field).alias("field"))
+    rules = F.array(
+        rule(F.when(name["equal"], 1000), "name", "name"),
+        rule(name["partial"], "partial", "name"), rule(name["similar"], "similar", "name"),
+        rule(F.when(cell["equal"], 100), "name", "cas"),
+        rule(cell["partial"], "partial", "cas"), rule(cell["similar"], "similar", "cas"),
+    )
+    start = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit("").alias("type"), F.lit("").alias("field"))
+    better = lambda s, r: F.struct(js_round(r["raw"]).alias("v"), r["type"].alias("type"), r["field"].alias("field"))
+    return F.aggregate(rules, start, lambda s, r: F.when(F.coalesce(r["raw"] > s["v"], F.lit(False)), better(s, r)).otherwise(s))
 
 
 def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ()) -> DataFrame:
@@ -87,39 +82,42 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
     A query shaped as an identifier finds rows that list identifiers by equality alone. All others are
     compared by distinct text: equal keys, and pairs from two lossless blockings, one for edits over
     compact keys, one for containment. no_cas: sources without identifiers, where all but an equal name is
-    a candidate."""
-    rows, asked = indexed(register), _asked(queries)
+    a candidate. The keyed register is written once and read by each of the joins."""
+    rows, asked = written(indexed(register), "keyed"), _asked(queries)
     columns = register.columns
-    keyed = rows.select("row_id", F.explode("numbers").alias("number")).distinct()
     wanted = asked.filter("by_cas").select("qid", F.trim("q").alias("number"))
-    found = wanted.join(keyed, "number").join(rows, "row_id")
+    found = rows.withColumn("number", F.explode(F.array_distinct("numbers"))).join(wanted, "number")
     by_cas = found.select(
         "qid", *columns, F.lit(100).cast("bigint").alias("v"), F.lit("cas").alias("type"), F.col("number").alias("field"),
         F.lit(False).alias("decisive"),
     )
-    texts = rows.select(F.col("nname").alias("n"), F.col("cname").alias("c")).union(rows.select("ncas", "ccas"))
-    texts = texts.filter("n IS NOT NULL").distinct()
-    q = asked.select("qid", "nq", "cq")
+    texts = rows.select(F.explode(F.array(F.struct(F.col("nname").alias("n"), F.col("cname").alias("c")), F.struct(F.col("ncas").alias("n"), F.col("ccas").alias("c")))).alias("x"))
+    texts = texts.select("x.*").filter("n IS NOT NULL").distinct()
+    q = asked.select("qid", "by_cas", "nq", "cq")
     compacts = near_pairs(q.select(F.col("cq").alias("l"), F.col("cq").alias("s")).distinct(),
                           texts.select(F.col("c").alias("r"), F.col("c").alias("t")).distinct(), 0.205)
     norms = near_pairs(q.select(F.col("nq").alias("l"), F.col("nq").alias("s")).distinct(),
-                       texts.select(F.col("n").alias("r"), F.col("n").alias("t")).distinct(), 1 - 79.5 / 96)
+                       texts.select(F.col("n").alias("r"), F.col("n").alias("t")), 1 - 79.5 / 96)
+    own = ["qid", "by_cas", "nq", "cq", "n", "c"]
     pairs = (
-        q.join(compacts, q.cq == compacts.l).select("qid", "r").join(texts, F.col("r") == F.col("c")).select("qid", "n")
-        .union(q.join(norms, q.nq == norms.l).select("qid", F.col("r").alias("n")))
-        .union(q.join(texts, q.nq == texts.n).select("qid", "n"))
-        .distinct()
-    )
-    near = (
-        pairs.join(rows.select("row_id", F.col("nname").alias("n")), "n").select("qid", "row_id")
-        .union(pairs.join(rows.select("row_id", F.col("ncas").alias("n")), "n").select("qid", "row_id"))
+        q.join(compacts, q.cq == compacts.l).join(texts, F.col("r") == F.col("c")).select(own)
+        .union(q.join(norms, q.nq == norms.l).join(texts, F.col("r") == F.col("n")).select(own))
+        .union(q.join(texts, q.nq == texts.n).select(own))
         .distinct()
     )
-    scored = _scored(near.join(asked, "qid").filter(~F.col("by_cas")).join(rows, "row_id"))
-    numberless = _scored(near.join(asked.filter("by_cas"), "qid").join(rows.filter(F.size("numbers") == 0), "row_id"))
-    fuzzy = scored.unionByName(numberless).filter(F.col("s.v") >= MIN_SCORE)
-    field = F.when(F.col("s.field") == "cas", F.col("cas")).otherwise(F.col("name"))
-    fuzzy = fuzzy.select("qid", *columns, "s.v", "s.type", field.alias("field"), "decisive")
+    facts = _compared(pairs).select("qid", "by_cas", "n", "x")
+    keyed = rows.select("row_id", "nname", "ncas", (F.size("numbers") > 0).alias("numbered"))
+    side = lambda key, kind: facts.join(keyed.filter(F.col(key).isNotNull()), F.col("n") == F.col(key)).filter("not (by_cas and numbered)").select(
+        "qid", "row_id", F.lit(kind).alias("kind"), "x"
+    )
+    by_row = side("nname", "name").union(side("ncas", "cas")).groupBy("qid", "row_id").agg(
+        F.max(F.when(F.col("kind") == "name", F.col("x"))).alias("_name"), F.max(F.when(F.col("kind") == "cas", F.col("x"))).alias("_cas")
+    )
+    scored = by_row.withColumn("s", _score(F.col("_name"), F.col("_cas"))).filter(F.col("s.v") >= MIN_SCORE)
+    exact = F.coalesce(F.col("_name.equal"), F.lit(False))
+    fuzzy = scored.select("qid", "row_id", F.least("s.v", F.lit(100)).alias("v"), "s.type", F.col("s.field").alias("_field"), exact.alias("decisive"))
+    field = F.when(F.col("_field") == "cas", F.col("cas")).otherwise(F.col("name"))
+    fuzzy = fuzzy.join(rows, "row_id").select("qid", *columns, "v", "type", field.alias("field"), "decisive")
     flag = F.col("source_key").isin(*no_cas) & ~F.col("decisive") & (F.col("type") != "cas") if no_cas else F.lit(False)
     return by_cas.unionByName(fuzzy).withColumn("candidate", flag)
 
@@ -134,9 +132,58 @@ def ranked(found: DataFrame, k: int, ranks: dict[str, int] = RANK) -> DataFrame:
 
 def merged(found: DataFrame, k: int = 24) -> DataFrame:
     """Hits of many queries of one batch, the best per row (the earlier query on ties), then the first k."""
-    best = Window.partitionBy("batch", "row_id").orderBy(F.desc("v"), "qid")
-    once = found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    row = F.struct(*[F.col(f"`{c}`") for c in found.columns])
+    once = found.groupBy(F.col("batch").alias("_b"), F.col("row_id").alias("_r")).agg(F.min_by(row, F.struct(-F.col("v"), "qid")).alias("_x")).select("_x.*")
     order = Window.partitionBy("batch").orderBy(
         rank_of(F.col("source_key"), MERGE_RANK), F.desc("v"), "source_ordinal", "row_id"
     )
     return once.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k)
+
+
+def available(register: DataFrame, states: DataFrame) -> DataFrame:
+    """register without the sources that states (source_key, state, rows) doesn't call ready, or calls empty."""
+    ready = states.filter("state = 'ready' and coalesce(rows, 1) > 0").select("source_key").distinct()
+    return register.join(ready, "source_key", "left_semi")
+
+
+def totals(states: DataFrame) -> DataFrame:
+    """One row: sources, ready (sources), rows (of ready ones)."""
+    return states.agg(
+        F.count(F.lit(1)).alias("sources"), F.count_if(F.col("state") == "ready").alias("ready"),
+        F.coalesce(F.sum(F.when(F.col("state") == "ready", F.col("rows"))), F.lit(0)).cast("bigint").alias("rows"),
+    )
+
+
+def candidate_hits(reads: DataFrame, register: DataFrame, mode: str, no_cas: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of what reads (read_id, cas array, names array) hold: the expert mode searches identifiers, the plain mode
+    name candidates; read_id, via (what was searched) and hits' columns. Equal strings are searched once."""
+    asked = reads.select("read_id", F.explode("cas" if mode == "pro" else "names").alias("via")).distinct()
+    once = asked.select("via").distinct().select(F.xxhash64("via").alias("qid"), F.col("via").alias("q"))
+    once = once.groupBy("qid", "q").agg(F.lit(1)).select("qid", "q")
+    return asked.withColumn("qid", F.xxhash64("via")).join(hits(once, register, no_cas), "qid")
+
+
+def search_candidates(reads: DataFrame, register: DataFrame, mode: str, no_cas: tuple[str, ...] = (), k: int = 24) -> DataFrame:
+    """A read's merged result: the best hit per row over all that was searched for it, then the first k."""
+    return merged(candidate_hits(reads, register, mode, no_cas).withColumn("batch", F.col("read_id")), k)
+
+
+def read_scores(reads: DataFrame, register: DataFrame) -> DataFrame:
+    """read_id, best, exact_name, exact_cas, name: what the register says of each read (read_id, cas, names): the best
+    score, whether a name or an identifier is met exactly, and the best hit's name (the first by score, row)."""
+    each = candidate_hits(reads, register, "pro").unionByName(candidate_hits(reads, register, "farmer"))
+    scored = each.groupBy("read_id").agg(
+        F.max("v").alias("best"), F.bool_or("decisive").alias("exact_name"), F.bool_or(F.col("type") == "cas").alias("exact_cas"),
+        F.min_by("name", F.struct(-F.col("v"), "row_id")).alias("name"),
+    )
+    no = F.lit(False)
+    return reads.select("read_id").join(scored, "read_id", "left").select(
+        "read_id", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("exact_name", no).alias("exact_name"),
+        F.coalesce("exact_cas", no).alias("exact_cas"), "name",
+    )
+
+
+def report(found: DataFrame, k: int | None = None) -> DataFrame:
+    """Hits as a report lists them: by falling score, then row; the first k if given."""
+    out = found.orderBy(F.desc("v"), "qid", "row_id")
+    return out if k is None else out.limit(k)

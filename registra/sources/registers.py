@@ -75,8 +75,10 @@ def union(registers: list[DataFrame]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", header: bool = True, sep: str = ",", comment: str | None = None) -> DataFrame:
+    """A CSV by RFC 4180. Charsets beyond Spark's own need spark.sql.legacy.javaCharsets, which is then set for the whole
+    session and stays, as it is read when the file is."""
     if encoding.lower() not in {"utf-8", "utf-16", "utf-32", "us-ascii", "iso-8859-1"}:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the other charsets that the JVM knows
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"')
     reader = reader.option("encoding", encoding).option("sep", sep)
     return (reader.option("comment", comment) if comment else reader).csv(path)
@@ -193,12 +195,43 @@ def install_pack(spark: SparkSession, path: str) -> DataFrame:
     return body
 
 
+def packs(spark: SparkSession, root: str) -> list[str]:
+    """The names of the packs under root that have a body and a manifest."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [x.getPath() for x in fs.listStatus(folder) if x.isDirectory()]
+    part = lambda p, name: jvm.org.apache.hadoop.fs.Path(p, name)
+    return sorted(p.getName() for p in found if fs.exists(part(p, "body")) and fs.exists(part(p, "manifest")))
+
+
+def restore_packs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The packs under root that still agree with their manifests, by name; others are left out."""
+    out = {}
+    for name in packs(spark, root):
+        try:
+            out[name] = install_pack(spark, f"{root}/{name}")
+        except ValueError:
+            continue
+    return out
+
+
+def remove_pack(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether there was a pack of that name; it is gone now."""
+    if name not in packs(spark, root):
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def guarded_refresh(rows: DataFrame, path: str, version: str, least: int, apply: bool = False, protected: tuple[str, ...] = ()) -> str:
-    """Write rows as a new version beside the old ones; a dry run unless apply. Too few rows or a protected path
-    are refused."""
+    """Write rows as path's current version; a dry run unless apply. Too few rows or a protected path are refused. The
+    versions before stay as they are, each under its own name, as dated backups."""
     if any(p in path for p in protected):
         return "protected"
-    if rows.count() < least:
+    if rows.limit(least).count() < least:
         return "too few rows"
     if not apply:
         return "dry run"
@@ -235,7 +268,15 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_json_register(rows: DataFrame, key: str, limit: int = 1_000_000) -> str:
-    """A register file's text, for registers small enough to be one JSON document (checked)."""
-    if rows.count() > limit:
+    """A register file's text, for registers small enough to be one JSON document: at most limit rows are fetched, and one
+    more to tell."""
+    found = [json.loads(x) for x in rows.limit(limit + 1).toJSON().collect()]
+    if len(found) > limit:
         raise ValueError("too many rows for one JSON document; write a pack")
-    return json.dumps({"meta": {"key": key, "count": rows.count()}, "rows": [json.loads(x) for x in rows.toJSON().collect()]}, ensure_ascii=False)
+    return json.dumps({"meta": {"key": key, "count": len(found)}, "rows": found}, ensure_ascii=False)
+
+
+def review_export(rows: DataFrame, path: str, verdict: str = "verdict", note: str = "note") -> None:
+    """Reviewed rows as JSON lines in order of row: row, name, cas and the reviewer's verdict and note; rows without a
+    verdict are written too, so that the review can go on."""
+    rows.select("row", "name", "cas", F.col(verdict).alias("verdict"), F.col(note).alias("note")).orderBy("row").write.mode("overwrite").json(path)
