@@ -46,7 +46,7 @@ STRIDE = 25
 CHUNK = 1 << 20  # bytes hashed at a time
 BUCKET = 1 << 21  # bytes of contexts in a bucket
 SHARDS = 4
-DEEP = 12_000  # entries of an anchor
+DEEP = 1_000  # entries of an anchor
 COMMON = 8  # occurrences in a chunk that make a context worth remembering
 REMEMBERED = 200_000
 _PLACE = np.uint64((1 << 24) - 1)
