@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shared import held, release, remove, scratch, shared_dir, written  # noqa: F401
+
 #: ASCII white space of the word contracts: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -22,12 +23,12 @@ ALNUM = bytes(
 )
 
 _shipped: set[str] = set()
-_own_dir: list[str] = []
 _lock = threading.Lock()
 
 
 def prepare(spark: SparkSession, rows_per_batch: int = 512) -> SparkSession:
-    """Make this package importable on executors and keep Arrow batches small, as texts can be long."""
+    """Make this package importable on executors and keep Arrow batches small, as texts can be long. The batch size is
+    the session's, and stays, as results are computed after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     app = spark.sparkContext.applicationId
     with _lock:
@@ -46,42 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own_dir:
-            _own_dir.append(Path(tempfile.mkdtemp(prefix="registra-")).as_uri())
-        found = _own_dir[0]
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/registra/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hpath)
-    fs.deleteOnExit(hpath)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. The path is kept in .scratch_path."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
 def words(data: bytes) -> list[bytes]:
     """Maximal runs without ASCII white space (split() on bytes knows exactly those six characters)."""
     return data.split()

@@ -5,19 +5,33 @@ record, so that a reader can go on to the next record without inflating this one
 payloads of at least REVISIT_BYTES bytes: that with the smallest id is the response, the others revisit it
 and carry no payload; its digest and length stand in the headers.
 
-Reader (``spark.read.format("warc").load(folder)``): plans partitions from the folder's files by size,
-takes equality, IN and prefix predicates on record_type, target_uri, page_id and payload_digest, inflates
-a record's headers first, and inflates the payload only if the record passes and payloads are asked for
-(option payload, default true). Members without ``SL`` and plain files are read too.
+Reader (``spark.read.format("warc").load(folder)``): plans partitions from the folder's files by size; a
+compressed file of more than PARTITION_BYTES is split, each part beginning with the first member at or
+behind its place (a plain file is one partition, read as a stream). It takes equality, IN and prefix
+predicates on record_type, target_uri, page_id and payload_digest, inflates a record's headers first, and
+inflates the payload only if the record passes and payloads are asked for (option payload, default true).
+Members without ``SL`` and plain files are read too, and blocks of all record types but revisits.
+
+payload_digest is the payload's SHA-256 in lower-case hex: from the header where that states one, else
+computed where payloads are asked for (a predicate on it then reads the payload), else null. stated_digest is
+the header's own value, whatever its algorithm; a payload that is read is compared with it (sha1, sha256, sha512 or
+md5, in hex or base32; option verify, default true).
+
+Damaged records: ``damage`` says what is wrong, and what could be read is there: ``digest`` (the payload, with its
+own digest), ``truncated`` (the file ends within the record; no payload), ``length`` (no sound Content-Length; no
+payload), ``gzip`` (the member doesn't inflate) or ``header`` (no end of the headers, or no WARC record). Reading goes
+on with the next member, or in plain files the next line ``WARC/1.``, behind the place of the damage.
 
 Defined results: a null payload is empty; records that share the smallest id are all responses; a record
 with a null id sorts last, so that it revisits if any record of its payload has an id, and else is a
-response; control characters in a URL are percent-encoded; a null URL has no target; extra columns are
-ignored; an empty table gives an empty archive.
+response; control characters in a URL are percent-encoded; a null URL has no target; numbers in headers that are
+none are null; extra columns are ignored; an empty table gives an empty archive, an empty folder no rows.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import struct
 import sys
@@ -113,14 +127,28 @@ def write_warc(pages: DataFrame, path: str) -> DataFrame:
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, page_id long, payload_bytes long,"
-    " payload_digest string, refers_to long, payload binary"
+    " payload_digest string, refers_to long, payload binary, stated_digest string, damage string"
 )
 _PUSHED = {"record_type", "target_uri", "page_id", "payload_digest"}
 
 
 class WarcPartition(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+    def __init__(self, parts: list[tuple[str, int, int | None]]):
+        """(file, from, to) with records that begin there; to is None for the whole file."""
+        self.parts = parts
+
+
+class Damaged(Exception):
+    """A record that can't be read further: what is wrong, and the row so far."""
+
+    def __init__(self, kind: str, row: dict | None = None):
+        super().__init__(kind)
+        self.kind, self.row = kind, row
+
+
+MAGIC = b"\x1f\x8b\x08"
+NEAR = 1 << 20  # bytes looked through at a time for the next record
+LONGEST_HEAD = 1 << 20
 
 
 class WarcReader(DataSourceReader):
@@ -145,15 +173,21 @@ class WarcReader(DataSourceReader):
         )
         out, held, size = [], [], 0
         for p, n in found:
+            if n > PARTITION_BYTES and p.endswith(".gz"):
+                out += [WarcPartition([(p, at, min(n, at + PARTITION_BYTES))]) for at in range(0, n, PARTITION_BYTES)]
+                continue
             if held and size + n > PARTITION_BYTES:
                 out.append(WarcPartition(held))
                 held, size = [], 0
-            held.append(p)
+            held.append((p, 0, None))
             size += n
-        return [*out, WarcPartition(held)]
+        return [*out, WarcPartition(held)] if held or not out else out
 
-    def passes(self, row: dict) -> bool:
+    def passes(self, row: dict, later: bool = False) -> bool:
+        """later: the digest isn't known yet, so that predicates on it are left for later."""
         for f in self.tests:
+            if later and f.attribute[0] == "payload_digest":
+                continue
             x = row[f.attribute[0]]
             if x is None:
                 return False
@@ -169,13 +203,14 @@ class WarcReader(DataSourceReader):
 
         kinds = pa.schema(
             [("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()),
-             ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+             ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+             ("stated_digest", pa.string()), ("damage", pa.string())]
         )
         store, _ = fs.FileSystem.from_uri(self.path)
         rows, size = [], 0
-        for path in partition.files:
+        for path, start, end in partition.parts:
             with store.open_input_file(path) as f:
-                for row in self.records(f):
+                for row in self.records(f, start, end):
                     rows.append(row)
                     size += len(row["payload"] or b"")
                     if len(rows) >= 256 or size > 8 << 20:
@@ -183,85 +218,173 @@ class WarcReader(DataSourceReader):
                         rows, size = [], 0
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    def records(self, f) -> Iterator[dict]:
-        end, at = f.size(), 0
+    def records(self, f, at: int = 0, end: int | None = None) -> Iterator[dict]:
+        """The records that begin in [at, end)."""
+        size = f.size()
+        end = size if end is None else end
+        if at:
+            at = self.next_member(f, at, size)
         while at < end:
             f.seek(at)
-            start = f.read(2)
-            at = yield from (self.zipped(f, at, end) if start == b"\x1f\x8b" else self.plain(f, at))
-
-    def zipped(self, f, at: int, end: int) -> Iterator[dict]:
-        """The record of the gzip member at this place; returns the place behind it."""
+            zipped = f.read(3) == MAGIC
+            try:
+                row, behind = (self.zipped if zipped else self.plain)(f, at, size)
+            except Damaged as e:
+                row = e.row or dict.fromkeys(x.split()[0] for x in SCHEMA.split(", "))
+                row |= {"damage": e.kind, "payload": None}
+                behind = self.next_member(f, at + 1, size) if zipped else self.next_line(f, at + 1, size)
+            if row is not None and self.passes(row):
+                yield row
+            at = behind
+
+    def next_member(self, f, at: int, size: int) -> int:
+        """The first place from `at` on where a gzip member with a record begins."""
+        while at < size:
+            f.seek(at)
+            near = f.read(NEAR + 2)
+            k = near.find(MAGIC)
+            while k >= 0:
+                f.seek(at + k)
+                try:
+                    if zlib.decompressobj(31).decompress(f.read(4096), 16).startswith(b"WARC/1."):
+                        return at + k
+                except zlib.error:
+                    pass
+                k = near.find(MAGIC, k + 1)
+            at += NEAR
+        return size
+
+    def next_line(self, f, at: int, size: int) -> int:
+        """The first place from `at` on where a line of a plain file begins with WARC/1."""
+        while at < size:
+            f.seek(at)
+            near = f.read(NEAR + 8)
+            k = near.find(b"\nWARC/1.")
+            if k >= 0:
+                return at + k + 1
+            at += NEAR
+        return size
+
+    def zipped(self, f, at: int, size: int) -> tuple[dict | None, int]:
+        """The record of the gzip member at this place, null if it doesn't pass, and the place behind it."""
         f.seek(at)
         head = f.read(32)
-        known = struct.unpack("<Q", head[16:24])[0] if head[3] & 4 and head[12:14] == b"SL" else None
+        known = struct.unpack("<Q", head[16:24])[0] if len(head) == 32 and head[3] & 4 and head[12:14] == b"SL" else None
         f.seek(at)
-        inflate, raw, taken = zlib.decompressobj(31), b"", 0
+        inflate, raw, taken = zlib.decompressobj(31), bytearray(), 0
 
         def more(n: int) -> bool:
             """Inflate up to n more bytes."""
-            nonlocal raw, taken
+            nonlocal taken
             fed = inflate.unconsumed_tail
             if not fed:
-                fed = f.read(min(1 << 16, (at + known if known else end) - f.tell()))
+                fed = f.read(min(1 << 16, (at + known if known else size) - f.tell()))
                 taken += len(fed)
-            out = inflate.decompress(fed, n)
-            raw += out
+            try:
+                out = inflate.decompress(fed, n)
+            except zlib.error:
+                raise Damaged("gzip", row) from None
+            raw.extend(out)
             return bool(out or fed) and not inflate.eof
 
-        while b"\r\n\r\n" not in raw and more(2048):
+        row = None
+        while b"\r\n\r\n" not in raw and len(raw) < LONGEST_HEAD and more(2048):
             pass
-        row, length, body = self.head(raw)
-        wanted = self.passes(row)
-        if wanted and self.payload and row["record_type"] != "revisit":
+        row, length, body = self.head(bytes(raw), inflate.eof or len(raw) >= LONGEST_HEAD)
+        if self.wanted(row):
             while len(raw) < body + length and more(1 << 16):
                 pass
-            self.attach(row, raw[body : body + length])
-        if wanted:
-            yield row
-        if known:
-            return at + known
+            if len(raw) < body + length:
+                raise Damaged("truncated", row)
+            self.attach(row, bytes(raw[body : body + length]))
+        passes = self.passes(row)
+        if known and at + known <= size:
+            return row if passes else None, at + known
         while not inflate.eof and more(1 << 16):
-            raw = b""
-        return at + taken - len(inflate.unused_data)
+            raw.clear()
+        if not inflate.eof:
+            raise Damaged("truncated", row)
+        return row if passes else None, at + taken - len(inflate.unused_data)
 
-    def plain(self, f, at: int) -> Iterator[dict]:
+    def plain(self, f, at: int, size: int) -> tuple[dict | None, int]:
         f.seek(at)
         raw = b""
-        while b"\r\n\r\n" not in raw and (x := f.read(2048)):
+        while b"\r\n\r\n" not in raw and len(raw) < LONGEST_HEAD and (x := f.read(2048)):
             raw += x
-        row, length, body = self.head(raw)
-        if self.passes(row):
-            if self.payload and row["record_type"] != "revisit":
-                f.seek(at + body)
-                self.attach(row, f.read(length))
-            yield row
-        return at + body + length + 4
-
-    def head(self, raw: bytes) -> tuple[dict, int, int]:
-        """From a record's start: its row without payload, the block's length, where the block begins."""
+        row, length, body = self.head(raw, len(raw) >= LONGEST_HEAD or at + len(raw) < size)
+        if at + body + length > size:
+            raise Damaged("truncated", row)
+        if self.wanted(row):
+            f.seek(at + body)
+            self.attach(row, f.read(length))
+        behind = at + body + length
+        f.seek(behind)
+        return row if self.passes(row) else None, behind + (4 if f.read(4) == b"\r\n\r\n" else 0)
+
+    def wanted(self, row: dict) -> bool:
+        """Whether the payload has to be read: it is asked for, and the predicates that don't need it pass."""
+        if not self.payload or row["record_type"] == "revisit":
+            return False
+        return self.passes(row, later=row["payload_digest"] is None)
+
+    def head(self, raw: bytes, whole: bool) -> tuple[dict, int, int]:
+        """From a record's start: its row without payload, the block's length, where the block begins. whole: there is no
+        more of the record to read, so that headers without an end are no headers, and not cut off."""
+        if not raw.startswith(b"WARC/1.") and (len(raw) >= 7 or whole):
+            raise Damaged("header")
+        if b"\r\n\r\n" not in raw:
+            raise Damaged("header" if whole else "truncated")
         body = raw.index(b"\r\n\r\n") + 4
-        fields = {}
-        for x in raw[: body - 4].decode().split("\r\n")[1:]:
+        fields, name = {}, ""
+        for x in raw[: body - 4].decode(errors="replace").split("\r\n")[1:]:
+            if x[:1] in (" ", "\t") and name:  # a folded line
+                fields[name] += " " + x.strip()
+                continue
             name, _, value = x.partition(":")
-            fields[name.lower()] = value.strip()
-        number = lambda x: int(fields[x]) if x in fields else None
+            name = name.strip().lower()
+            fields[name] = value.strip()
+
+        def number(x: str) -> int | None:
+            v = fields.get(x, "")
+            return int(v) if v.isascii() and v.removeprefix("-").isdigit() and len(v) < 19 else None
+
+        stated = fields.get("warc-payload-digest") or None
+        found = _digest(stated)
         row = {
             "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"),
             "target_uri": fields.get("warc-target-uri"), "page_id": number("x-page-id"),
-            "payload_bytes": number("x-payload-length"),
-            "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            "refers_to": number("x-refers-to-page"), "payload": None,
+            "payload_bytes": number("x-payload-length"), "payload_digest": found[1].hex() if found and found[0] == "sha256" else None,
+            "refers_to": number("x-refers-to-page"), "payload": None, "stated_digest": stated, "damage": None,
         }
-        return row, int(fields["content-length"]), body
+        length = number("content-length")
+        if length is None or length < 0:
+            raise Damaged("length", row)
+        return row, length, body
 
     def attach(self, row: dict, block: bytes) -> None:
-        http = block.startswith(b"HTTP/") or row["record_type"] == "request" and b"\r\n\r\n" in block
-        row["payload"] = block[block.index(b"\r\n\r\n") + 4 :] if http else block
-        digest = hashlib.sha256(row["payload"]).hexdigest()
-        if self.verify and row["payload_digest"] not in (None, digest):
-            raise ValueError(f"{row['record_id']}: the payload doesn't have its digest")
-        row["payload_digest"], row["payload_bytes"] = digest, len(row["payload"])
+        http = (block.startswith(b"HTTP/") or row["record_type"] == "request") and b"\r\n\r\n" in block
+        payload = block[block.index(b"\r\n\r\n") + 4 :] if http else block
+        found = _digest(row["stated_digest"])
+        if self.verify and found and hashlib.new(found[0], payload).digest() != found[1]:
+            row["damage"] = "digest"
+        row |= {"payload": payload, "payload_digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload)}
+
+
+def _digest(stated: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a stated digest; null where they aren't known. A bare one of 64 hex digits is SHA-256."""
+    name, colon, value = (stated or "").partition(":")
+    if not colon:
+        name, value = "sha256", name
+    name = name.strip().lower().replace("-", "")
+    if name not in {"sha1", "sha256", "sha512", "md5"}:
+        return None
+    size = hashlib.new(name).digest_size
+    value = value.strip()
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (ValueError, binascii.Error):
+        return None
+    return (name, raw) if len(raw) == size else None
 
 
 class WarcDataSource(DataSource):
@@ -281,6 +404,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The archives under path. Predicates reach the source by a session option, which stays, as plans are made after this
+    returns."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from registra.llm import (
     bwt_dedup,
@@ -442,6 +443,75 @@ def test_language_model(spark, docs, rows, none):
     assert maxent_lm.score_documents(none).count() == 0
 
 
+def test_language_model_of_odd_tables(spark):
+    """Null ids, repeated rows, no training documents, clashing columns."""
+    rows = [(None, "a b", 1), (None, "a b", 2), (3, "a a", 3), (3, "a a", 3), (5, None, 4), (8, "", 5)]
+    got = maxent_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, score long")).collect()
+    assert len(got) == 6 and len({x.train_tokens for x in got}) == 1
+    alike = {}
+    for x in got:
+        alike.setdefault((x.doc_id, x.n_tokens), set()).add((x.base_score, x.score, x.n_known))
+    assert all(len(x) == 1 for x in alike.values())
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1)
+    x = maxent_lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (True, 3, 0, 0) and math.isfinite(x.score)
+
+
+def test_language_model_score(spark, docs, rows):
+    """Scores against a walk over the tokens, one by one, with the same weights."""
+    learned = docs.filter(maxent_lm.training())
+    counts = maxent_lm.count_words(learned).cache()
+    v = maxent_lm.vocabulary(counts, learned.count())
+    count = {x.w: x.c for x in counts.collect()}
+    outer, inner = maxent_lm.train(docs.select("doc_id", "text"), v)
+    order = sorted(count, key=lambda w: (-count[w], w))
+    rank = {w: k for k, w in enumerate(order)}
+    m, start = maxent_lm, maxent_lm.START
+    got = by_id(m.score_documents(docs))
+
+    def rows_of(one, two, group):
+        out = []
+        for a, b, kind in ((one, 0, 0), (two, 0, 1), (one, two, 2)):
+            x = (((a * 8191 + b) * 64 + group) * 4 + kind) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF
+            out.append(x >> 40 & m.HASH - 1)
+        return out
+
+    def share(w, bias, one, two, group, y):
+        x = bias.astype(float) + sum(w[r].astype(float) for r in rows_of(one, two, group))
+        return x[y] - math.log(np.exp(x).sum())
+
+    for k, t, *_ in rows:
+        want, one, two = 0.0, start, start
+        for word in [*(t or "").encode().translate(m.LOWER).split(), None]:
+            h = m.word_hash(word) if word is not None else None
+            at, tail = rank.get(h), m.tail_class(word) if word is not None else 0
+            if word is not None and at is None:
+                want += math.log(v.unknown)
+            else:
+                want += math.log(1 - v.unknown)
+                head = at is not None and at < m.HEAD
+                group = 0 if word is None else 1 + at // m.WIDE if head else 1 + m.HEAD // m.WIDE + tail
+                want += share(outer, v.prior, one, two, 0, group)
+                if head:
+                    want += share(inner, v.inner[group - 1], one, two, group, at % m.WIDE)
+                elif word is not None:
+                    want += math.log(count[h] / v.mass[tail])
+            code = start if word is None else at if at is not None and at < m.CONTEXT else m.CONTEXT + tail
+            one, two = code, one
+        assert math.isclose(got[k].score, want / math.log(10), rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_most_frequent_is_bounded(spark):
+    """However many words have the top count, or one count."""
+    for count in ("1", "5000", "id % 7 + 1", "id + 1"):
+        df = spark.range(3000).select(F.xxhash64("id").alias("w"), F.expr(count).cast("long").alias("c"))
+        for most in (50, 700, 5000):
+            got = maxent_lm.most_frequent(df, most).collect()
+            assert min(most, 3000) * 0.8 <= len(got) <= most
+            if count == "id + 1":
+                assert min(x.c for x in got) > 3000 - 1.2 * most - 60
+
+
 def test_language_model_sums_to_one(spark, docs):
     """Over all known words and the unknown one, after any context, probabilities come to 1."""
     vocabulary = maxent_lm.Vocabulary
@@ -579,6 +649,75 @@ def test_warc_foreign(spark, tmp_path):
     assert {x.record_id for x in lean} == {"<3>", "<7>", "<5000>", "<90000>"}
 
 
+def warc_record(kind, block, *headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{len(block)}>", *headers, f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_warc_digests(spark, tmp_path):
+    """Digests of other algorithms are verified, and predicates on the SHA-256 lose no record that doesn't state it."""
+    import base64
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"p" * 500
+    raw = body[19:]
+    sha1 = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    sha256 = hashlib.sha256(raw)
+    headers = [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Payload-Digest: SHA-1:{hashlib.sha1(raw).hexdigest()}", f"WARC-Payload-Digest: sha256:{base64.b32encode(sha256.digest()).decode()}",
+               f"WARC-Payload-Digest: sha256:{sha256.hexdigest()}", "WARC-Payload-Digest: sha1:" + "A" * 32, "WARC-Payload-Digest: blake9:xx", "X-Page-Id: seven", "X-Folded: a\r\n b"]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc_record("response", body, h)) for h in headers))
+    (tmp_path / "b.warc").write_bytes(b"".join(warc_record("response", body, h) for h in headers))
+    rows = warc.read_warc(spark, tmp_path.as_uri()).collect()
+    assert len(rows) == 16 and {x.payload_digest for x in rows} == {sha256.hexdigest()} and all(bytes(x.payload) == raw for x in rows)
+    assert sorted(str(x.damage) for x in rows) == ["None"] * 14 + ["digest"] * 2
+    df = warc.read_warc(spark, tmp_path.as_uri())
+    assert df.filter(F.col("payload_digest") == sha256.hexdigest()).count() == 16 and df.filter("payload_digest = 'x'").count() == 0
+    lean = warc.read_warc(spark, tmp_path.as_uri(), payload=False)
+    assert lean.filter("payload_digest is not null").count() == 4 and lean.filter(F.col("payload_digest") == sha256.hexdigest()).count() == 4
+
+
+def test_warc_damage(spark, tmp_path):
+    """Truncated files, members that don't inflate, missing lengths and rubbish are told, and the rest is read."""
+    import gzip
+
+    good = [warc_record("resource", b"r" * n) for n in (10, 20, 3000)]
+    z = [gzip.compress(x) for x in good]
+    bad = bytearray(gzip.compress(warc_record("resource", random.Random(1).randbytes(5000))))
+    bad[200:260] = b"\0" * 60
+    no_length = good[1].replace(b"Content-Length: 20\r\n", b"")
+    files = {
+        "cut.warc.gz": z[0] + z[2][:-30], "cut.warc": good[0] + good[2][:-500], "mid.warc.gz": z[0] + bytes(bad) + z[1], "len.warc.gz": gzip.compress(no_length) + z[0],
+        "len.warc": no_length + good[0], "rubbish.warc": b"no archive\n" + good[0], "rubbish.warc.gz": b"xx" + z[0], "head.warc": good[0] + b"WARC/1.0\r\nWARC-Type: x", "empty.warc": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data)
+    read = lambda name: sorted((str(x.damage), len(x.payload or b"")) for x in warc.read_warc(spark, (tmp_path / name).as_uri()).collect())
+    got = {name: read(name) for name in files}
+    assert got == {
+        "cut.warc.gz": [("None", 10), ("truncated", 0)], "cut.warc": [("None", 10), ("truncated", 0)], "mid.warc.gz": [("None", 10), ("None", 20), ("gzip", 0)],
+        "len.warc.gz": [("None", 10), ("length", 0)], "len.warc": [("None", 10), ("length", 0)], "rubbish.warc": [("None", 10), ("header", 0)],
+        "rubbish.warc.gz": [("header", 0)], "head.warc": [("None", 10), ("truncated", 0)], "empty.warc": [],
+    }
+
+
+def test_warc_split(tmp_path, monkeypatch):
+    """Parts of a compressed file have each record once, wherever they are cut."""
+    import gzip
+
+    rng = random.Random(4)
+    records = [warc_record("resource", rng.randbytes(rng.randrange(3000))) for _ in range(60)]
+    own = [warc.member("response", k, "u", b"q" * k, hashlib.sha256(b"q" * k).hexdigest(), k, None) for k in range(40)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*map(gzip.compress, records), *own]))
+    for size in (700, 5000, 1 << 20):
+        monkeypatch.setattr(warc, "PARTITION_BYTES", size)
+        reader = warc.WarcReader(tmp_path.as_uri(), True, True)
+        parts = reader.partitions()
+        got = [x for p in parts for b in reader.read(p) for x in b.to_pylist()]
+        assert len(got) == 100 and not any(x["damage"] for x in got) and (len(parts) > 1) == (size < 1 << 20)
+    assert [p.parts for p in warc.WarcReader((tmp_path / "a.warc.gz").as_uri().replace("a.warc.gz", ""), True, True).partitions()]
+
+
 def test_codes_follow_the_vocabulary():
     """A worker that has met another vocabulary must not keep its codes."""
     word = b"word"
