@@ -14,9 +14,12 @@ Tokens are a text's words (A-Z lower-cased) and one end. The model predicts a to
   mini-batches with Adagrad steps on its copy of the weights; the tasks' updates are averaged row by row,
   weighted by how many tokens touched the row. All training documents are used, each in one round.
 
-The weights have a fixed size (HASH rows), and reach the driver. Counts of all training words stay in a
-table; only the most frequent, at most FREQUENT (a fixed number), are sent to the tasks, and the rest of the
-tokens are joined with the table. Words are counted by 64-bit hashes.
+The weights have a fixed size (HASH rows), and reach the driver; updates are averaged in two steps, so that no
+group has a row from every task. Counts of all training words stay in a table, which grows with the corpus;
+only the most frequent, at most FREQUENT (a fixed number), are sent to the tasks, and the rest of the
+tokens are joined with the table. Words are counted by 64-bit hashes: the odds that any two of V different words
+share one are at most V ** 2 / 2 ** 65 (3e-8 for a million words, 3 % for a thousand million), and two that do would
+be counted as one.
 
 Defined results: null and empty texts are one end; a null id counts as the empty string for the split;
 repeated rows are learned and scored each; without training documents all tokens are unknown; extra
@@ -40,7 +43,7 @@ from xxhash import xxh64_intdigest
 from .common import LOWER, partitions, prepare, table, utf8, written
 
 FREQUENT = 1 << 19
-LEVELS = 4096
+LEVELS = 16  # steps for each doubling of a count
 WIDE = 32
 HEAD = 31 * WIDE
 TAILS = 32
@@ -306,6 +309,9 @@ def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least
         yield Tokens(v, held)
 
 
+SUMS = "part long, n binary, change binary, raw boolean"
+
+
 def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Weights over classes and over the words of head classes."""
     spark = docs.sparkSession
@@ -316,6 +322,8 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         base = spark.sparkContext.broadcast(model)
 
         def walk(batches: Iterator[pa.RecordBatch], base=base) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             v = sent.value
             w = [x.copy() for x in base.value]
             squares = [np.zeros(HASH, np.float32) for _ in w]
@@ -334,40 +342,52 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                     if n.any():
                         change = w[k][a : a + ROWS] - base.value[k][a : a + ROWS]
                         yield pa.RecordBatch.from_pydict(
-                            {"part": [k * HASH + a], "n": [n.tobytes()], "change": [change.astype(np.float16).tobytes()]}
+                            {"part": [k * HASH + a], "some": [TaskContext.get().partitionId() >> 7], "n": [n.astype(np.float64).tobytes()],
+                             "change": [change.astype(np.float16).tobytes()], "raw": [True]}
                         )
 
-        def mean(key, parts):
-            """One row a task that touched the part."""
-            total, n = 0.0, np.zeros(ROWS)
-            for m, change in zip(parts.column("n").to_pylist(), parts.column("change").to_pylist(), strict=True):
-                m = np.frombuffer(m, np.float32).astype(np.float64)
+        def total(key, parts):
+            """Rows of tasks, or sums of such, to their sum: n, and changes weighted by n."""
+            n, change = np.zeros(ROWS), 0.0
+            for m, x, raw in zip(*(parts.column(c).to_pylist() for c in ("n", "change", "raw")), strict=True):
+                m = np.frombuffer(m, np.float64)
                 n += m
-                total = total + np.frombuffer(change, np.float16).reshape(ROWS, -1).astype(np.float64) * m[:, None]
-            out = (total / np.maximum(n, 1e-9)[:, None]).astype(np.float32)
-            return pa.Table.from_pydict({"part": [key[0].as_py()], "change": [out.tobytes()]})
+                x = np.frombuffer(x, np.float16).reshape(ROWS, -1) * m[:, None] if raw else np.frombuffer(x, np.float64).reshape(ROWS, -1)
+                change = change + x
+            return pa.Table.from_pydict({"part": [key[0].as_py()], "n": [n.tobytes()], "change": [change.tobytes()], "raw": [False]})
 
         here = docs.filter(training() & (turn == number)).select("text")
-        parts = here.mapInArrow(walk, "part long, n binary, change binary").groupBy("part")
+        parts = here.mapInArrow(walk, "part long, some long, n binary, change binary, raw boolean")
+        summed = parts.groupBy("part", "some").applyInArrow(total, SUMS).groupBy("part").applyInArrow(total, SUMS)
         model = [x.copy() for x in model]
-        for x in parts.applyInArrow(mean, "part long, change binary").collect():
+        for x in summed.collect():
             k, a = divmod(x.part, HASH)
-            model[k][a : a + ROWS] += np.frombuffer(x.change, np.float32).reshape(ROWS, -1)
+            n = np.maximum(np.frombuffer(x.n, np.float64), 1e-9)
+            model[k][a : a + ROWS] += (np.frombuffer(x.change, np.float64).reshape(ROWS, -1) / n[:, None]).astype(np.float32)
     return model[0], model[1]
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of counts (w, c), those of the largest counts: all of the levels (LEVELS to a doubling) that
+    fit, and of the level behind them the words with the smallest hashes, about as many as fit."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * LEVELS)
+    found = {x.level: x.n for x in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    room, cut, edge, share = most, max(found, default=0) + 1, -1, 0.0
+    for x in sorted(found, reverse=True):
+        if found[x] > room:
+            edge, share = x, 0.98 * room / found[x]
+            break
+        room -= found[x]
+        cut = x
+    spread = 1 << 40
+    few = (level == edge) & (F.pmod("w", F.lit(spread)) < F.lit(int(share * spread)))
+    return counts.filter((level >= cut) | few).limit(most)
+
+
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     masses = {x.tail: x.c for x in counts.groupBy("tail").agg(F.sum("c").alias("c")).collect()}
-    # The least count with at most FREQUENT words at or above it, from a histogram of LEVELS counts.
-    levels = counts.groupBy(F.least("c", F.lit(LEVELS)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    words, cut = 0, LEVELS + 1
-    for x in sorted(levels, key=lambda x: -x.c):
-        words += x.n
-        if words > FREQUENT:
-            break
-        cut = x.c
-    frequent = counts.filter(F.col("c") >= cut).select("w", "tail", "c").toArrow()
+    frequent = most_frequent(counts, FREQUENT).select("w", "tail", "c").toArrow()
     return Vocabulary(frequent, (total.n or 0) + ends, total.v + (ends > 0), ends, masses)
 
 
