@@ -1,17 +1,18 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A text's fingerprint has a bit for each of the 64 bits of its shingles' hashes: 1 if more than half of
-them have it. Distinct fingerprints get a table of Hamming distances to pivots (reference fingerprints):
-
-* a base pivot and, for each of 6 segments, the base with one bit of that segment turned. A pair within 3
-  bits leaves at least 3 segments alone, and there its distances to a segment's pivots differ from those to
-  the base by the same numbers; so pairs meet in a cell of one of the 20 choices of 3 segments, keyed by
-  those differences.
-* 16 unrelated pivots. In a cell a pair goes when any coordinate of these differs by more than 3, as no
-  distance changes by more than the pair's own; survivors are verified bit by bit.
-
-So no link within 3 bits is lost and no pair is ever enumerated outside a cell. Cells give spanning
-forests of their links, not all pairs. Cells of over CELL fingerprints are dealt in parts, two by two.
+them have it. Distinct fingerprints get, once, a table of Hamming distances to PIVOTS unrelated reference
+fingerprints, which is stored beside them and goes along wherever pairs are looked at: a pair is discarded
+when any coordinate differs by more than DISTANCE, as no distance changes by more than the pair's own;
+survivors are verified bit by bit.
+
+The pairs come from a second use of distances: to a base pivot and to the base with one bit turned, which
+differ by one up or down as the fingerprint's bit is. A pair within 3 bits leaves at least 3 of 6 segments
+alone, and there those differences are equal; so pairs meet in a cell of one of the 20 choices of 3
+segments, keyed by the differences (that is, by equal bits). No link is lost and no pair is ever enumerated
+outside a cell. Cells give spanning forests of their links, not all pairs. Cells of over CELL fingerprints
+are dealt in parts, two by two. Cells are sorted on disk and read one after the other, so that a task holds one
+part of a cell (or a few thousand fingerprints of small ones).
 
 Defined results: null and empty texts have fingerprint zero; repeated rows and equal texts share one
 fingerprint; a null id takes part and is smallest only where no other id is; an empty table has no rows.
@@ -45,7 +46,8 @@ def _pivot(name: str) -> int:
 
 BASE = np.uint64(_pivot("base"))
 TURNED = BASE ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))
-OTHERS = np.array([_pivot(f"pivot {k}") for k in range(16)], np.uint64)
+PIVOTS = 16
+OTHERS = np.array([_pivot(f"pivot {k}") for k in range(PIVOTS)], np.uint64)
 
 
 def fingerprint(data: bytes, width: int = WIDTH) -> int:
@@ -82,9 +84,18 @@ def distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ pivots[None, :])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with their tables: PIVOTS bytes each."""
     for b in batches:
         fp = b.column("fp").to_numpy(zero_copy_only=False)
+        t = distances(fp.view(np.uint64), OTHERS).astype(np.uint8)
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), len(fp), [None, pa.py_buffer(t.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(fp), b.column("least"), flat.cast(pa.binary())], ["fp", "least", "t"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp, t = b.column("fp").to_numpy(zero_copy_only=False), b.column("t")
         u = fp.view(np.uint64)
         nearer = distances(u, TURNED) < distances(u, np.array([BASE]))
         part = [np.zeros(len(u), np.int64) for _ in SEGMENTS]
@@ -95,22 +106,31 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.full(len(u), c, np.int64)
             for k in choice:
                 key = key << len(SEGMENTS[k]) | part[k]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["cell", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), t], ["cell", "fp", "t"])
+
+
+class Tally:
+    """Pairs looked at, discarded by the table, linked."""
 
+    def __init__(self) -> None:
+        self.pairs = self.discarded = self.linked = 0
 
-def _linked(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (index in a, index in b) that pass the table and are near."""
-    alive = np.ones((len(a), len(b)), bool)
-    for k in range(ta.shape[1]):
-        alive &= np.abs(ta[:, None, k] - tb[None, :, k]) <= DISTANCE
-    i, j = np.nonzero(alive)
-    near = np.bitwise_count(a[i] ^ b[j]) <= DISTANCE
-    return i[near], j[near]
+    def near(self, a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray) -> np.ndarray:
+        """Of pairs, side by side: which pass the table and are near."""
+        alive = np.flatnonzero((np.abs(ta - tb) <= DISTANCE).all(axis=1))
+        out = np.zeros(len(a), bool)
+        out[alive] = np.bitwise_count(a[alive] ^ b[alive]) <= DISTANCE
+        self.count(len(a), len(alive), int(out.sum()))
+        return out
 
+    def count(self, pairs: int, alive: int, linked: int) -> None:
+        self.pairs += pairs
+        self.discarded += pairs - alive
+        self.linked += linked
 
-def forest(fp: np.ndarray) -> list[tuple[int, int]]:
+
+def forest(fp: np.ndarray, t: np.ndarray, tally: Tally) -> list[tuple[int, int]]:
     """Edges (indexes) that connect what links connect, by growing from one fingerprint after another."""
-    t = distances(fp, OTHERS).astype(np.int8)
     rest, edges = np.arange(1, len(fp)), []
     front = np.array([0])
     while len(rest):
@@ -118,7 +138,13 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
             front, rest = rest[:1], rest[1:]
             continue
         now, front = front[:512], front[512:]
-        i, j = _linked(fp[now], t[now], fp[rest], t[rest])
+        alive = np.ones((len(now), len(rest)), bool)
+        for k in range(t.shape[1]):
+            alive &= np.abs(t[now, None, k] - t[None, rest, k]) <= DISTANCE
+        i, j = np.nonzero(alive)
+        near = np.bitwise_count(fp[now[i]] ^ fp[rest[j]]) <= DISTANCE
+        tally.count(alive.size, len(i), int(near.sum()))
+        i, j = i[near], j[near]
         if len(j):
             j, first = np.unique(j, return_index=True)
             edges += zip(now[i[first]].tolist(), rest[j].tolist(), strict=True)
@@ -127,44 +153,74 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of whole cells, as forests. A partition holds 16 bytes a row and cells whole."""
-    got = [(b.column("cell").to_numpy(), b.column("part").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-    if not got:
-        return
-    cell, part, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((fp, part, cell))
-    cell, part, fp = cell[order], part[order], fp[order].view(np.uint64)
-    new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(fp)))
-    edges: list[np.ndarray] = []
-    small = np.repeat(size, size) <= 16
-    group = np.cumsum(new)
-    for step in range(1, 16):
-        i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step])) if len(fp) > step else []
-        if not len(i):
-            break
-        for at in range(0, len(i), 1 << 16):
-            x, y = fp[i[at : at + (1 << 16)]], fp[i[at : at + (1 << 16)] + step]
-            table_gap = np.abs(distances(x, OTHERS).astype(np.int8) - distances(y, OTHERS).astype(np.int8)).max(axis=1)
-            keep = table_gap <= DISTANCE
-            x, y = x[keep], y[keep]
-            near = np.bitwise_count(x ^ y) <= DISTANCE
-            edges.append(np.stack([x[near], y[near]]))
-    for s, n in zip(start[size > 16], size[size > 16], strict=True):
-        own = np.unique(fp[s : s + n])
-        if found := forest(own):
-            edges.append(own[np.array(found).T])
-    if edges:
-        u, v = np.unique(np.concatenate(edges, axis=1), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+SMALL = 16
+HELD = 1 << 15
+
+
+def _edges(batches: Iterator[pa.RecordBatch], tally: Tally | None = None) -> Iterator[pa.RecordBatch]:
+    """The links of whole cells, as forests. Rows come sorted by cell and part; whole groups are taken a few thousand
+    rows at a time."""
+    tally = tally or Tally()
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, part, fp, t = rows
+        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.append(start, len(fp)))
+        edges: list[np.ndarray] = []
+        small, group = np.repeat(sizes, sizes) <= SMALL, np.cumsum(new)
+        for step in range(1, min(SMALL, len(fp))):
+            i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]))
+            if not len(i):
+                break
+            near = tally.near(fp[i], t[i], fp[i + step], t[i + step])
+            edges.append(np.stack([fp[i][near], fp[i + step][near]]))
+        for s, n in zip(start[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            own, at = np.unique(fp[s : s + n], return_index=True)
+            if found := forest(own, t[s : s + n][at], tally):
+                edges.append(own[np.array(found).T])
+        if edges:
+            u, v = np.unique(np.concatenate(edges, axis=1), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = np.frombuffer(b"".join(b.column("t").to_pylist()), np.uint8).reshape(-1, PIVOTS).astype(np.int8)
+        held.append([b.column("cell").to_numpy(), b.column("part").to_numpy(), b.column("fp").to_numpy().view(np.uint64), t])
+        size += b.num_rows
+        if size < HELD:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield from groups([x[:cut] for x in rows])
+        held, size = [[x[cut:] for x in rows]], len(rows[0]) - cut
+    if size:
+        yield from groups([np.concatenate(x) for x in zip(*held, strict=True)])
+
 
+def pivot_figures(distinct: DataFrame) -> dict[str, int]:
+    """How many pairs the cells of distinct fingerprints (fp, least, t) give, how many the tables discard and how many
+    are links: pairs, discarded, linked. For reports; it does the work of links again."""
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) that connect all that are within DISTANCE bits."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for _ in _edges(batches, tally):
+            pass
+        yield pa.RecordBatch.from_pydict({"pairs": [tally.pairs], "discarded": [tally.discarded], "linked": [tally.linked]})
+
+    out = _dealt(distinct).mapInArrow(count, "pairs long, discarded long, linked long")
+    return out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "discarded", "linked")]).first().asDict()
+
+
+def _dealt(distinct: DataFrame) -> DataFrame:
+    """cell, part, fp, t, sorted by cell and part, each part of a cell whole in one partition."""
     spark = distinct.sparkSession
-    cells = written(distinct.select("fp").mapInArrow(_cells, "cell long, fp long"), "cells")
+    cells = written(distinct.select("fp", "t").mapInArrow(_cells, "cell long, fp long, t binary"), "cells")
     hot = cells.groupBy("cell").count().filter(F.col("count") > CELL)
     parts = F.ceil(F.col("count") / F.lit(CELL / 2)).cast("int")
     hot = hot.select("cell", parts.alias("parts"))
@@ -174,15 +230,26 @@ def links(distinct: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda x: F.least(x, F.col("own")) * F.col("parts") + F.greatest(x, F.col("own")),
     )
-    dealt = dealt.withColumn("own", own).select("cell", F.explode(pairs).alias("part"), "fp")
-    return dealt.repartition(partitions(spark), "cell", "part").mapInArrow(_edges, "u long, v long")
+    dealt = dealt.withColumn("own", own).select("cell", F.explode(pairs).alias("part"), "fp", "t")
+    return dealt.repartition(partitions(spark), "cell", "part").sortWithinPartitions("cell", "part")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints with tables (fp, t) to edges (u, v) that connect all that are within DISTANCE bits."""
+    return _dealt(distinct).mapInArrow(_edges, "u long, v long")
+
+
+def tabled(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints: fp, least (the smallest doc_id), t (the pivot table), written."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    return written(distinct.mapInArrow(_tabled, "fp long, least long, t binary"), "fps")
 
 
 def groups(prints: DataFrame) -> DataFrame:
     """Fingerprints' components: fp, root (the component's smallest fingerprint), component_id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    distinct = tabled(prints)
     roots = components(links(distinct)).withColumnRenamed("u", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(least, "root").select("fp", "root", "component_id")
 
