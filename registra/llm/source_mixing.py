@@ -5,12 +5,14 @@
 2. A source's documents are dealt by hash into shards of about ``shard_words`` words, and each shard's
    words, in order of (id, text hash), are cut into blocks of ``block`` words (the last may be shorter).
 3. All blocks that the targets come to are seats: highest quotients target / (2 s + 1) give seats to
-   sources, highest quotients words / (2 s + 1) hand a source's seats on to its shards, no shard beyond
-   ``most`` times its blocks.
+   sources, highest quotients words / (2 s + 1) hand a source's seats on to its groups of shards (GROUPS at
+   most) and a group's to its shards, none beyond ``most`` times its blocks. So a source of any size is handed
+   out in one small table of groups and many tables of shards.
 4. In a shard with q seats and n blocks every block is taken q div n times; the q mod n blocks that a
    seeded affine permutation of the block numbers puts first are taken once more.
 
-Only one row a source reaches the driver; shards are rows of a table. Nothing depends on partitioning.
+Only one row a source reaches the driver, for SOURCES sources at most: more are refused, as they are no sources
+to weigh one by one (hosts, say, have to be gathered into sources first). Nothing depends on partitioning.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source of its own and
 the last by order; repeated rows count each; an empty table gives no rows.
@@ -26,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, written
 
 SEED = 20_240_607
 MOST = 3
 SHARD_WORDS = 262_144
+GROUPS = 1_024
+SOURCES = 1_000_000
 #: Blocks have a 131,072nd of all words, between 1 and 1,024.
 BLOCKS, LARGEST_BLOCK = 131_072, 1_024
 
@@ -92,7 +96,10 @@ def plan(docs: DataFrame, sizes: DataFrame, seed: int = SEED) -> DataFrame:
     """docs (with size and h) and source_size, target, pieces: array of (start, words, times), the runs of
     the document's words that belong to one block each, with how often the mix takes them."""
     spark = docs.sparkSession
-    sources = [(x.source, x.size) for x in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    sources = [(x.source, x.size) for x in found]
     sources.sort(key=lambda x: (x[0] is None, x[0] or ""))  # str order is code point order
     weights = [1 + i % 3 for i in range(len(sources))]
     targets = capped_targets([n for _, n in sources], weights)
@@ -110,37 +117,41 @@ def plan(docs: DataFrame, sizes: DataFrame, seed: int = SEED) -> DataFrame:
         df = df.join(about, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_")
         return df.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.col("shards")))
 
-    by_shard = (
-        with_shard(sizes)
-        .groupBy("source", "shard")
-        .agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
-    )
+    group = F.pmod("shard", F.lit(GROUPS))
+    by_shard = with_shard(sizes).groupBy("source", group.alias("group"), "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
+    by_shard = written(by_shard.withColumn("blocks", F.ceil(F.col("words") / F.lit(block))), "shards")
+
+    def apportioned(pdf, key):
+        """The rows' shares of the seats that the first of them names."""
+        pdf = pdf.sort_values(key)
+        q = sainte_lague([int(w) for w in pdf.words], int(pdf.seats.iloc[0]), [MOST * int(x) for x in pdf.blocks])
+        return pdf.assign(q=q)
 
     def quotas(pdf):
         import random
 
-        import pandas as pd
-
-        pdf = pdf.sort_values("shard")
-        n = [-(-int(w) // block) for w in pdf.words]
-        q = sainte_lague([int(w) for w in pdf.words], int(pdf.seats.iloc[0]), [MOST * x for x in n])
+        pdf = apportioned(pdf, "shard")
         steps, shifts = [], []
-        for k, x in zip(pdf.shard, n, strict=True):
+        for k, x in zip(pdf.shard, map(int, pdf.blocks), strict=True):
             rng = random.Random(f"{seed}/{pdf.source.iloc[0]}/{k}")
             a = rng.randrange(1, x + 1) if x else 1
             while x and math.gcd(a, x) != 1:
                 a = rng.randrange(1, x + 1)
             steps.append(a)
             shifts.append(rng.randrange(x) if x else 0)
-        return pd.DataFrame(
-            {"source": pdf.source, "shard": pdf["shard"], "n": n, "q": q, "a": steps, "b": shifts}
-        )
+        return pdf.assign(a=steps, b=shifts)[["source", "shard", "blocks", "q", "a", "b"]]
 
-    quota = by_shard.groupBy("source").applyInPandas(
-        quotas, "source string, shard long, n long, q long, a long, b long"
+    by_group = by_shard.groupBy("source", "group").agg(F.sum("words").alias("words"), F.first("seats").alias("seats"), F.sum("blocks").alias("blocks"))
+    handed = by_group.groupBy("source").applyInPandas(
+        lambda pdf: apportioned(pdf, "group")[["source", "group", "q"]], "source string, group long, q long"
+    )
+    handed = handed.select(F.col("source").alias("s_"), F.col("group").alias("g_"), F.col("q").alias("seats"))
+    shards = by_shard.drop("seats").join(handed, F.col("source").eqNullSafe(F.col("s_")) & (F.col("group") == F.col("g_"))).drop("s_", "g_")
+    quota = shards.groupBy("source", "group").applyInPandas(
+        quotas, "source string, shard long, blocks long, q long, a long, b long"
     )
     quota = quota.select(
-        F.col("source").alias("s_"), F.col("shard").alias("k_"), F.col("n").alias("n_"), F.col("q").alias("q_"),
+        F.col("source").alias("s_"), F.col("shard").alias("k_"), F.col("blocks").alias("n_"), F.col("q").alias("q_"),
         F.col("a").alias("a_"), F.col("b").alias("b_"),
     )
     within = Window.partitionBy("source", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "h", "size")
@@ -170,8 +181,6 @@ def taken() -> Column:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: documents' columns, a row for each of a document's rounds (1 to 3) in which some of
     its words are taken, with those words as text; n_chars, if there, follows the text."""
-    from .common import written
-
     columns = docs.columns
     rest = [c for c in columns if c not in ("doc_id", "source")]
     sizes = written(sized(docs), "mix")
@@ -192,7 +201,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import prepare, table, written
+    from .common import prepare, table
 
     prepare(spark)
     sizes = written(sized(table(spark, sf_dir, "documents")), "sizes")
