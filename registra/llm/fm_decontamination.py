@@ -1,14 +1,14 @@
 """Benchmark decontamination with an FM-index per shard of the training data.
 
-A shard is what one task reads (at most SHARD words in the index; a task with more makes several). Words
+A shard is what one task reads (texts of at most HELD bytes, or one text; a task with more makes several). Words
 that no benchmark item of the block has become separators, and so do runs of other words that are shorter
 than the shortest window: no window can lie in them. Over what is left the shard builds its
 Burrows-Wheeler transform, a wavelet tree of it for ranks, and suffix positions at every 8th place.
 All windows are searched backward together; occurrences are located by walking to a sampled suffix, and
 their word ranges are merged into removal spans.
 
-The benchmark is a stated query set: it is sent out in blocks of at most BLOCK words, one at a time in a
-task, whatever its size.
+The benchmark is a stated query set: it is sent out in blocks of at most BLOCK words (a longer item is a block), which
+lie on the executors' disks; a task reads one at a time, whatever the number, and the driver holds one, too.
 
 Defined results: null and empty texts have no words and are clean; an item without words, or with a null
 id, has no window; items with the same id are one item of several texts; repeated documents are judged
@@ -30,7 +30,7 @@ from .common import ALNUM, prepare, table, utf8
 WINDOW = 13
 SHARE = 20  # contaminated: SHARE * n_hit >= n_words
 SAMPLE = 8
-SHARD = 1 << 21
+HELD = 24 << 20
 BLOCK = 1 << 20
 
 
@@ -227,22 +227,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [x.value for x in sent]
         held: list[pa.RecordBatch] = []
-        counts: list[int] = []
-        runs: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in blocks]
+        texts: list[str | None] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            for block, own in zip(blocks, runs, strict=True):
-                if not own:
-                    continue
-                for doc, at, n, k in search_shard(block, own):
+            counts = [] if sent else [len(item_words(t)) for t in texts]
+            for k, x in enumerate(sent):
+                block = x.value
+                runs: list[tuple[int, int, np.ndarray]] = []
+                for doc, text in enumerate(texts):
+                    words = item_words(text)
+                    if not k:
+                        counts.append(len(words))
+                    runs += [(doc, at, ids) for at, ids in block.runs(words)]
+                for doc, at, n, w in search_shard(block, runs) if runs else ():
                     spans.setdefault(doc, []).append((at, at + n))
-                    items.setdefault(doc, set()).update(block.items[k])
-                own.clear()
+                    items.setdefault(doc, set()).update(block.items[w])
+                if len(sent) > 1:
+                    del block
+                    x.__dict__.pop("_value", None)  # read again from disk for the next shard
             base = 0
             for b in held:
                 out: list[list] = [[] for _ in range(7)]
@@ -272,19 +278,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...
                     [*b.schema.names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
                 )
             held.clear()
-            counts.clear()
+            texts.clear()
 
         for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                words = item_words(text)
-                doc = len(counts)
-                counts.append(len(words))
-                for block, own in zip(blocks, runs, strict=True):
-                    for at, ids in block.runs(words):
-                        own.append((doc, at, ids))
-                        size += len(ids) + 1
+            own = batch.column("_text").to_pylist()
+            texts += own
+            size += sum(len(t or "") for t in own)
             held.append(batch.drop_columns(["_text"]))
-            if size >= SHARD:
+            if size >= HELD:
                 yield from flush()
                 size = 0
         yield from flush()
