@@ -6,8 +6,8 @@ it lost more than ``max_loss`` of its words.
 Line rules (n: words of the line)
   symbols      2 * characters of ``[#*$%&|<>]`` >= n
   marks        ``!`` and ``?`` together > n (shouted or spliced text)
-  navigation   at least two ``|`` and 3 * ``|`` >= n (menus, bread crumbs, tables of links)
-  boilerplate  at most 20 words that hold one of BOILERPLATE
+  navigation   at least two of ``|›•·`` and 3 times as many as words, or more (menus, bread crumbs, tables of links)
+  boilerplate  at most 20 words that hold one of BOILERPLATE, whatever the text's language
   punctuation  fewer than 5 words that don't end in terminal punctuation (headings, buttons)
   blank lines carry no words and are dropped from the cleaned text.
 
@@ -23,24 +23,22 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-#: Phrases of page furniture, matched in lower case (A-Z).
+#: Phrases of page furniture in English, German, French and Spanish, matched in lower case (A-Z).
 BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "cookie policy",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "click here",
-    "sign up for our newsletter",
-    "subscribe to our",
-    "enable javascript",
-    "skip to content",
-    "share on facebook",
-    "lorem ipsum",
-)
+    "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here",
+    "sign up for our newsletter", "subscribe to our", "enable javascript", "skip to content", "share on facebook", "lorem ipsum",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerkl", "nutzungsbedingungen", "hier klicken", "newsletter anmelden",
+    "javascript aktivieren", "zum inhalt springen", "auf facebook teilen",
+    "tous droits r", "accepter les cookies", "politique de confidentialit", "conditions d'utilisation", "cliquez ici", "inscrivez-vous",
+    "activer javascript", "aller au contenu", "partager sur facebook",
+    "todos los derechos reservados", "aceptar cookies", "de privacidad", "condiciones de uso", "haga clic", "suscr",
+    "activar javascript", "saltar al contenido", "compartir en facebook",
+)
 SYMBOLS = "#*$%&|<>"
-TERMINAL = r"""[.!?:;…。！？][\x22'”’»)\]]*[\x20\x09-\x0D]*$"""
+SEPARATORS = "|›•·"
+BLANKS = " \t\n\x0b\x0c\r"
+#: Marks that end a sentence, and what may close it behind them.
+TERMINAL, CLOSING = ".!?:;…。！？", "\"'”’»)]"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -54,27 +52,28 @@ def _count_of(text: Column, characters: str) -> Column:
 
 
 def _line_facts(line: Column) -> Column:
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = F.right(F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(CLOSING)), F.lit(1))
     return F.struct(
         line.alias("line"),
         F.regexp_count(line, F.lit(WORD)).alias("n"),
         _count_of(line, SYMBOLS).alias("symbols"),
         _count_of(line, "!?").alias("marks"),
-        _count_of(line, "|").alias("bars"),
-        low.rlike("|".join(BOILERPLATE)).alias("boilerplate"),
-        line.rlike(TERMINAL).alias("ended"),
+        _count_of(line, SEPARATORS).alias("bars"),
+        ((last != "") & F.contains(F.lit(TERMINAL), last)).alias("ended"),
     )
 
 
 def _line_passes(x: Column) -> Column:
+    """The rules, cheap ones first; the phrases are looked for in short lines that pass the others alone."""
     n = x["n"]
+    low = F.translate(x["line"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return (
         (n > 0)
         & (2 * x["symbols"] < n)
         & (x["marks"] <= n)
         & ~((x["bars"] >= 2) & (3 * x["bars"] >= n))
-        & ~(x["boilerplate"] & (n <= MAX_BOILERPLATE_WORDS))
         & ((n >= MIN_UNPUNCTUATED_WORDS) | x["ended"])
+        & ((n > MAX_BOILERPLATE_WORDS) | ~low.rlike("|".join(BOILERPLATE)))
     )
 
 
@@ -164,20 +163,19 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     lines = F.transform(F.split(F.col("_t"), "\n", -1), _line_facts)
     df = df.withColumn("_lines", F.filter(lines, lambda x: x["n"] > 0))
     all_lines = F.transform(F.col("_lines"), lambda x: x["line"])
-    clean = F.array_join(F.transform(F.filter(F.col("_lines"), _line_passes), lambda x: x["line"]), "\n")
+    df = df.withColumn("_passing", F.filter("_lines", _line_passes))
     facts = F.struct(
         F.size("_w").cast("bigint").alias("n_words"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
+        F.length(F.translate("_t", BLANKS, "")).cast("bigint").alias("word_chars"),
         _count_of(F.col("_t"), SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct(all_lines))).cast("bigint").alias("n_dup_lines"),
         _covered(F.col("_starts")).alias("n_repeat_words"),
-        clean.alias("clean_text"),
-        # Filters on results must stay above the projections: pushed down, nested lambdas would compute the
-        # arrays that they look at anew for every element. A value that isn't deterministic holds them.
-        F.monotonically_increasing_id().alias("here"),
+        F.aggregate("_passing", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_kept_words"),
+        F.array_join(F.transform("_passing", lambda x: x["line"]), "\n").alias("clean_text"),
     )
-    df = df.select("_row", facts.alias("_facts")).select("_row", "_facts.*").drop("here")
-    df = df.withColumn("n_kept_words", F.regexp_count("clean_text", F.lit(WORD)).cast("bigint"))
+    # A generator stands between the facts and what is made of them: predicates on its columns stay above it. Pushed
+    # down, nested lambdas would compute the arrays that they look at anew for every element.
+    df = df.select("_row", F.inline(F.array(facts)))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -204,7 +202,7 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
@@ -223,7 +221,7 @@ WITH d AS (
   SELECT k, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
     length(x) - length(regexp_replace(x, '[!?]', '', 'g')) AS marks,
-    length(x) - length(replace(x, '|', '')) AS bars,
+    length(x) - length(regexp_replace(x, '[|›•·]', '', 'g')) AS bars,
     regexp_matches(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}') AS furniture,
     regexp_matches(x, '[.!?:;…。！？][\x22\x27”’»)\]]*[\x20\x09-\x0D]*$') AS ended
   FROM line
