@@ -61,6 +61,11 @@ TEMPLATES = [
     ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "To the extent possible under law, has waived all copyright and related or neighboring rights to this work"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("odbl-1.0", "This database is made available under the Open Database License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9
