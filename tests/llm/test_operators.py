@@ -90,6 +90,13 @@ def test_quality_line_rules(spark):
     text = "\n".join([good] * 9 + bad)
     x = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert x.clean_text == "\n".join([good] * 9)
+    bad = ["Alle Rechte vorbehalten, und hier steht noch mehr.", "Pour plus de détails cliquez ici, s'il vous plaît.", "Para leer más haga clic en el enlace.", "Start › Shop › Buch", "Rot • Blau • Gelb"]
+    kept = ["Er sagte: „Nun gut!“", "Ende.»  ", "(Voilà.)", "Short end?']", "a word · another word and some words more follow here"]
+    text = "\n".join([good] * 9 + bad + kept)
+    rows = spark.createDataFrame([(1, text), (None, text), (1, text), (2, "")], "doc_id long, text string")
+    got = quality_rules.judge(rows).collect()
+    assert len(got) == 4 and [x.clean_text for x in got if x.n_words] == ["\n".join([good] * 9 + kept[1:])] * 3
+    assert all(x.n_kept_words == len(words(x.clean_text)) for x in got)
 
 
 @pytest.mark.parametrize("segment", [1 << 21, 50])
@@ -195,6 +202,8 @@ def test_simhash_links(spark, monkeypatch, cell):
     while not (label == (new := np.array([label[n].min() for n in near]))).all():
         label = new
     prints = spark.createDataFrame([(int(k), int(x)) for k, x in enumerate(u.view(np.int64))], "doc_id long, fp long")
+    figures = simhash_pivots.pivot_figures(simhash_pivots.tabled(prints))
+    assert figures["pairs"] > figures["discarded"] > 0 and figures["linked"] > 0
     got = {x.fp: x.component_id for x in simhash_pivots.groups(prints).collect()}
     assert [got[int(x)] for x in u.view(np.int64)] == label.tolist()
 
@@ -226,6 +235,19 @@ def test_decontamination(spark, docs, rows, none):
     assert fm_decontamination.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_in_blocks(spark, docs, rows, monkeypatch):
+    """A benchmark of many blocks gives what one block gives."""
+    items = [(k, " ".join(words(t)[k : k + 20])) for k, t in enumerate(texts()) if t]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = by_id(fm_decontamination.decontaminate(docs, bench))
+    monkeypatch.setattr(fm_decontamination, "BLOCK", 60)
+    assert len(list(fm_decontamination.query_blocks(bench, 13))) > 3
+    many = by_id(fm_decontamination.decontaminate(docs, bench))
+    assert one == many and any(x.n_hit for x in one.values())
+    twice = fm_decontamination.decontaminate(docs.union(docs), bench).collect()
+    assert len(twice) == 2 * len(rows) and all(x == one[x.doc_id] for x in twice)
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 400)
@@ -240,7 +262,10 @@ def test_fm_index():
             assert places == [i for i in range(401 - n) if (text[i : i + n] == p).all()]
 
 
-def test_mixing(spark, docs, rows, none):
+@pytest.mark.parametrize(("shard", "group"), [(262_144, 1024), (100, 3), (40, 2)])
+def test_mixing(spark, docs, rows, none, monkeypatch, shard, group):
+    monkeypatch.setattr(source_mixing, "SHARD_WORDS", shard)
+    monkeypatch.setattr(source_mixing, "GROUPS", group)
     sizes = source_mixing.sized(docs).cache()
     out = source_mixing.plan(sizes, sizes).withColumn("taken", source_mixing.taken()).collect()
     assert len(out) == len(rows)
@@ -275,6 +300,19 @@ def test_mixing(spark, docs, rows, none):
     assert source_mixing.plan(source_mixing.sized(none), source_mixing.sized(none)).count() == 0
 
 
+def test_mixing_of_odd_tables(spark, monkeypatch):
+    """Null ids, repeated rows, sources without words; too many sources are refused."""
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (1, "a b", None), (1, "a b", None), (2, None, "y"), (3, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = source_mixing.sized(df)
+    out = source_mixing.plan(sizes, sizes).withColumn("taken", source_mixing.taken()).collect()
+    assert len(out) == 6 and sum(x["size"] for x in out) == 10 and all(0 <= x.taken <= 3 * x["size"] for x in out)
+    assert {x.source: x.source_size for x in out} == {"x": 6, None: 4, "y": 0, "z": 0}
+    monkeypatch.setattr(source_mixing, "SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        source_mixing.plan(sizes, sizes)
+
+
 def test_sainte_lague():
     rng = random.Random(4)
     for _ in range(200):
@@ -376,6 +414,13 @@ def test_license(spark, docs, none):
     assert license_join.scan(none).count() == 0 and license_join.scan(docs).count() == docs.count()
 
 
+def test_license_of_odd_tables(spark):
+    """Null ids, repeated rows, very long texts."""
+    rows = [(None, "MIT License"), (None, "MIT License"), (3, "w " * 200_000 + "Released under the MIT License"), (4, "\n" * 500)]
+    got = license_join.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.labels) for x in got) == [("3", 200_005, "mit"), ("4", 0, ""), ("None", 2, "mit"), ("None", 2, "mit")]
+
+
 def test_license_blocks(spark):
     """Notices that wrap over lines are found, words scattered over a long line are none, near notices stay apart."""
     bsd = "Redistribution and use in source and binary\nforms, with or without modification, are permitted provided\nthat the following conditions are met:"

@@ -29,3 +29,29 @@ def test_stages(spark):
         start += r.n_tokens
     total = corpus_pipeline.run(spark, SF).agg({"n_tokens": "sum"}).first()[0]
     assert total == start
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null texts, ids and sources, repeated rows, more columns, and a table without rows."""
+    import random
+
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(12)) + "."
+    text = lambda: "\n".join(line() for _ in range(8))
+    same = text()
+    rows = [(1, same, "en", "a", 1), (1, same, "en", "a", 1), (2, same, "en", "b", 1), (None, text(), "en", None, 1), (None, text(), None, None, 1), (3, None, "en", "a", 1), (4, "", "en", "b", 1), (5, text(), "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).selectExpr("*", "1 as size", "'x' as n_words").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zz yy"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {1, None, 5} and all(r.n_tokens > 1 for r in got) and got
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_is_removed(spark):
+    from registra.llm.common import held
+
+    before = len(held())
+    out = corpus_pipeline.run(spark, SF)
+    assert len(held()) - before <= 1 and out.count() > 0
