@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept and returns documents'
 columns; the last returns what the token files hold. run() writes every stage's result to the shared
-folder and reads it again, so that a lost executor costs a stage's tasks and not the pipeline.
+folder and reads it again, so that a lost executor costs a stage's tasks and not the pipeline, and
+removes what only the stages before needed.
+
+Defined results: null and empty texts fail the quality rules and go, as do texts that lose too much; equal
+rows are one document from the second stage on; null ids stay (documents without an id are told apart by
+their text, and come first in the token files); a null source is a source of its own; the mix repeats a
+document once for each round in which its words are taken; columns beyond documents' are left out; an
+empty table, or one of which nothing is kept, gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from registra.llm import fm_decontamination, quality_rules, simhash_pivots, source_mixing, token_output
-from registra.llm.common import prepare, table, tokenizer_path, written
+from registra.llm.common import held, prepare, release, table, tokenizer_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,9 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = written(docs, f"stage{number}")
-    return docs
+    docs, others = table(spark, sf_dir, "documents"), held()
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+        release(spark, others, keep=(docs.scratch_path,))
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    release(spark, [x for x in held() if x != docs.scratch_path])
+    return out

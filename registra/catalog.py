@@ -449,9 +449,9 @@ def renumber_rows(spark, d):
     return R.numbered(rows, "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority", "row")
 
 
-@query("SELECT n AS o_custkey FROM (SELECT unnest(range(1, (SELECT max(o_custkey) FROM orders) + 1)) AS n) WHERE n NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT n AS doc_id FROM (SELECT unnest(range(1, (SELECT max(doc_id) FROM labels) + 1)) AS n) WHERE n NOT IN (SELECT doc_id FROM labels)")
 def sequence_check(spark, d):
-    return R.missing_numbers(table(spark, d, "orders"), "o_custkey")
+    return R.missing_numbers(table(spark, d, "labels"), "doc_id")
 
 
 @query(
