@@ -55,6 +55,7 @@ ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.2
 ROWS = 64  # of weights in a message
+TOGETHER = 128  # documents scored together
 _MEMO: dict[str, "Codes"] = {}
 
 
@@ -201,6 +202,11 @@ class Tokens:
         self.group = np.where(self.head, 1 + code // WIDE, np.where(code == END, 0, 1 + HEAD // WIDE + tail))
         self.one, self.two = one, two
 
+    def contexts(self, at: np.ndarray, group: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct contexts at these places: keys, where each is first, and which of them each place has."""
+        key = (self.one[at] * (START + 1) + self.two[at]) * CLASSES + group
+        return np.unique(key, return_index=True, return_inverse=True)
+
     def features(self, at: slice | np.ndarray, group: np.ndarray | int = 0) -> list[np.ndarray]:
         one, two = self.one[at], self.two[at]
 
@@ -232,22 +238,26 @@ def softmax(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarr
     return x
 
 
-def log_shares(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probabilities of y alone; bias: one for all rows or one a row."""
-    out = np.empty(len(y), np.float32)
-    for a in range(0, len(y), PIECE):
-        at = slice(a, a + PIECE)
-        own = bias if bias.ndim == 1 else bias[at]
-        x = _exponents(w, [r[at] for r in rows], own)
-        hit = x[np.arange(len(x)), y[at]]
+def log_shares(w: np.ndarray, t: "Tokens", at: np.ndarray, group: np.ndarray | int, bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probabilities of y alone, for the tokens of t at these places; group: of all or of each; bias: one row for all,
+    or one a group. Tokens with equal contexts share one sum over all outcomes."""
+    _, first, own = t.contexts(at, group)
+    each = lambda x, i: x[i] if isinstance(x, np.ndarray) else x
+    rows = t.features(at[first], each(group, first))
+    total = np.empty(len(first), np.float32)
+    for a in range(0, len(first), PIECE):
+        i = slice(a, a + PIECE)
+        part = [r[i] for r in rows]
+        x = _exponents(w, part, bias if bias.ndim == 1 else bias[each(group, first)[i] - 1])
         np.exp(x, out=x)
-        total = x.sum(axis=1)
-        if np.isfinite(total).all():
-            out[at] = hit - np.log(total)
-        else:
-            p = softmax(w, [r[at] for r in rows], own)
-            out[at] = p[np.arange(len(p)), y[at]]
-    return out
+        total[i] = np.log(x.sum(axis=1))
+        bad = np.flatnonzero(~np.isfinite(total[i]))
+        if len(bad):
+            x = _exponents(w, [r[bad] for r in part], bias if bias.ndim == 1 else bias[each(group, first)[i][bad] - 1])
+            m = x.max(axis=1)
+            total[i][bad] = m + np.log(np.exp(x - m[:, None]).sum(axis=1))
+    hit = bias[y] if bias.ndim == 1 else bias[each(group, slice(None)) - 1, y]
+    return hit + w[rows[0][own], y] + w[rows[1][own], y] + w[rows[2][own], y] - total[own]
 
 
 def _shares(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -277,21 +287,26 @@ def segment_sums(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
         reach *= 2
 
 
-def step(w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, y: np.ndarray) -> None:
-    """An Adagrad step on a mini-batch, in place."""
+def step(
+    w: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], bias: np.ndarray, own: np.ndarray, y: np.ndarray
+) -> None:
+    """An Adagrad step on a mini-batch, in place. rows and bias are of its distinct contexts; own: which of them each
+    token has; y: its outcome."""
     p = _shares(w, rows, bias)
-    p[np.arange(len(y)), y] -= 1
+    times = np.bincount(own, minlength=len(p))
+    p *= times[:, None].astype(np.float32)
+    np.subtract.at(p, (own, y), np.float32(1))
     for r in rows:
         order = np.argsort(r.astype(np.uint16), kind="stable")
         s = r[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        own = s[first]
-        n = np.diff(np.append(first, len(s)))
-        g = segment_sums(np.take(p, order, axis=0), first, n)
+        here = s[first]
+        n = np.add.reduceat(times[order], first)
+        g = segment_sums(np.take(p, order, axis=0), first, np.diff(np.append(first, len(s))))
         g /= np.sqrt(n)[:, None]
-        squares[own] += (g * g).mean(axis=1)
-        touched[own] += n
-        w[own] -= (RATE / np.sqrt(squares[own] + 1e-4))[:, None] * g
+        squares[here] += (g * g).mean(axis=1)
+        touched[here] += n
+        w[here] -= (RATE / np.sqrt(squares[here] + 1e-4))[:, None] * g
 
 
 def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Tokens]:
@@ -330,12 +345,14 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
             touched = [np.zeros(HASH, np.float32) for _ in w]
             for t in encoded(v, codes(v), batches, 8 * BATCH):
                 for a in range(0, len(t.code), BATCH):
-                    at = slice(a, a + BATCH)
-                    step(w[0], squares[0], touched[0], t.features(at), v.prior, t.group[at])
-                    inner = np.flatnonzero(t.head[at]) + a
-                    if len(inner):
-                        group = t.group[inner] - 1
-                        step(w[1], squares[1], touched[1], t.features(inner, group + 1), v.inner[group], t.code[inner] % WIDE)
+                    at = np.arange(a, min(a + BATCH, len(t.code)))
+                    _, first, own = t.contexts(at)
+                    step(w[0], squares[0], touched[0], t.features(at[first]), v.prior, own, t.group[at])
+                    at = at[t.head[at]]
+                    if len(at):
+                        group = t.group[at]
+                        _, first, own = t.contexts(at, group)
+                        step(w[1], squares[1], touched[1], t.features(at[first], group[first]), v.inner[group[first] - 1], own, t.code[at] % WIDE)
             for k in range(2):
                 for a in range(0, HASH, ROWS):
                     n = touched[k][a : a + ROWS]
@@ -420,16 +437,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
         log = np.log10(np.e)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for a in range(0, len(texts), 32):
-                own = [words_of(t) for t in texts[a : a + 32]]
+            for a in range(0, len(texts), TOGETHER):
+                own = [words_of(t) for t in texts[a : a + TOGETHER]]
                 t = Tokens(v, memo.of(own))
                 n = len(t.code)
-                at = slice(0, n)
-                lm = log_shares(outer, t.features(at), v.prior, t.group) * np.float64(log)
+                lm = log_shares(outer, t, np.arange(n), 0, v.prior, t.group) * np.float64(log)
                 head = np.flatnonzero(t.head)
                 if len(head):
-                    group = t.group[head] - 1
-                    lm[head] += log_shares(inner, t.features(head, group + 1), v.inner[group], t.code[head] % WIDE) * np.float64(log)
+                    lm[head] += log_shares(inner, t, head, t.group[head], v.inner, t.code[head] % WIDE) * np.float64(log)
                 lm += rest
                 end, rare = t.code == END, t.code < 0
                 tail = ~(end | rare | t.head)
@@ -446,7 +461,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     np.add.reduceat(base, starts), np.add.reduceat(np.where(rare, 0, lm), starts),
                     np.add.reduceat((sure | end & (v.ends > 0)).astype(np.int64), starts), np.diff(np.append(starts, n)),
                 )
-                ids, held = b.column("doc_id")[a : a + 32], b.column("held_out")[a : a + 32]
+                ids, held = b.column("doc_id")[a : a + TOGETHER], b.column("held_out")[a : a + TOGETHER]
                 size = len(own)
                 rows = np.arange(row, row + size)
                 none = lambda kind, k=size: pa.nulls(k, kind)
