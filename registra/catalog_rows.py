@@ -186,8 +186,8 @@ def _passes(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("read_id"), F.col("turn").alias("pass"), T.cas_numbers(F.col("text")).alias("cas"), words("text").alias("names"))
 
 
-_FUSED = """SELECT read_id, string_agg(x, '|' ORDER BY at, x) AS names FROM (
-  SELECT read_id, x, min(turn * 100000 + i) AS at FROM (
+_FUSED = """SELECT read_id, string_agg(x, '|' ORDER BY p, x) AS names FROM (
+  SELECT read_id, x, min(turn * 100000 + i) AS p FROM (
     SELECT conv_id AS read_id, turn, unnest(ws) AS x, unnest(range(len(ws))) AS i
     FROM (SELECT conv_id, turn, list_filter([regexp_replace(lower(x), '[^a-z]', '', 'g') FOR x IN regexp_split_to_array(text, '[ \\t\\n\\r]+')], lambda x: length(x) >= 9) AS ws FROM conversations)
   ) GROUP BY read_id, x
@@ -268,7 +268,7 @@ def gated_names(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(kept, "|").alias("names"))
 
 
-@query("SELECT p_partkey, p_name LIKE 'act%' OR p_brand IS NULL OR p_size % 4 < 3 AS header FROM part")
+@query("SELECT p_partkey, p_size % 4 < 3 AS header FROM part")
 def header_words(spark, d):
     word = F.element_at(F.array(F.lit("ACTVE"), F.lit("ingredints"), F.lit("Ingredient:"), F.lit("a widget")), (F.col("p_size") % 4 + 1).cast("int"))
     return table(spark, d, "part").select("p_partkey", mining.header_word(word).alias("header"))
