@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalog import _DERIVED, _HITS, _SUM_OK, NO_CAS, SOURCES, derived_cas, query, register, table
 from .functions import display as S
 from .functions import text as T
-from .operators import mining, search
+from .operators import mining, search, usage
 from .plans import registers as R
 from .sources import registers as sources
 
@@ -303,3 +303,44 @@ def name_parts(spark, d):
     tail = F.element_at(F.array(F.lit("(Z)-(long group without marks)"), F.lit("(E)-trans"), F.lit("(none, really so)")), (F.col("p_size") % 3 + 1).cast("int"))
     name = F.concat("p_name", F.lit(" "), tail)
     return table(spark, d, "part").select("p_partkey", F.array_join(T.stereo_marks(name), "|").alias("marks"), T.head_name(name).alias("head"))
+
+
+_GRADES = "CASE WHEN event_type = 'error' THEN 'HANG' WHEN event_type = 'purchase' THEN 'ACCEPT' WHEN event_type = 'view' THEN 'REJECT' ELSE 'EMPTY' END"
+
+
+def _graded(spark, d):
+    kind = F.col("event_type")
+    cas = F.when(kind == "purchase", F.array(F.lit("50-00-0"))).otherwise(F.array().cast("array<string>"))
+    e = table(spark, d, "events").select(
+        F.col("event_id").alias("n"), F.when(kind == "error", "x").alias("error"), cas.alias("cas"), F.when(kind == "view", "text").alias("raw"),
+        (F.col("user_id") % 50).alias("ms"), (F.col("event_id") % 4).alias("passes"),
+    )
+    return usage.graded(e)
+
+
+@query(
+    f"""SELECT count(*) AS reads, count(*) FILTER (WHERE g = 'ACCEPT') AS accept, count(*) FILTER (WHERE g = 'REJECT') AS reject, count(*) FILTER (WHERE g = 'EMPTY') AS empty,
+  count(*) FILTER (WHERE g = 'HANG') AS hang, round(avg(user_id % 50), 6) AS mean_ms, max(user_id % 50) AS max_ms, round(avg(event_id % 4), 6) AS mean_passes FROM (SELECT *, {_GRADES} AS g FROM events)"""
+)
+def run_summary(spark, d):
+    return usage.run_summary(_graded(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_ms", "mean_passes")})
+
+
+@query(
+    f"""WITH r AS (SELECT event_id AS n, {_GRADES} AS g, user_id % 50 AS ms FROM events)
+SELECT coalesce(a.n, b.n) AS n, a.g AS before, b.g AS after, CASE WHEN a.ms > 0 THEN CAST(floor(100.0 * (b.ms - a.ms) / a.ms + 0.5) AS BIGINT) END AS delta
+FROM r a FULL JOIN (SELECT n + 1 AS n, g, ms FROM r) b ON a.n = b.n"""
+)
+def run_changes(spark, d):
+    r = _graded(spark, d).select("n", "grade", "ms")
+    return usage.run_changes(r, r.withColumn("n", F.col("n") + 1))
+
+
+@query(
+    """SELECT 'n' || n_nationkey AS node_id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)"""
+)
+def leaf_nodes(spark, d):
+    name = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    nodes = table(spark, d, "nation").select(F.lit(1).alias("read_id"), name("n", "n_nationkey").alias("node_id"), name("r", "n_regionkey").alias("parent_id"))
+    roots = table(spark, d, "region").select(F.lit(1).alias("read_id"), name("r", "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"))
+    return mining.leaf_nodes(nodes.union(roots)).select("node_id")

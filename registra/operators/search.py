@@ -82,7 +82,7 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
     A query shaped as an identifier finds rows that list identifiers by equality alone. All others are
     compared by distinct text: equal keys, and pairs from two lossless blockings, one for edits over
     compact keys, one for containment. no_cas: sources without identifiers, where all but an equal name is
-    a candidate. The keyed register is written once and read by each of the joins."""
+    a candidate. The keyed register, its distinct texts and the pairs' facts are written, as several joins read each."""
     rows, asked = written(indexed(register), "keyed"), _asked(queries)
     columns = register.columns
     wanted = asked.filter("by_cas").select("qid", F.trim("q").alias("number"))
@@ -92,7 +92,7 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
         F.lit(False).alias("decisive"),
     )
     texts = rows.select(F.explode(F.array(F.struct(F.col("nname").alias("n"), F.col("cname").alias("c")), F.struct(F.col("ncas").alias("n"), F.col("ccas").alias("c")))).alias("x"))
-    texts = texts.select("x.*").filter("n IS NOT NULL").distinct()
+    texts = written(texts.select("x.*").filter("n IS NOT NULL").distinct(), "texts")
     q = asked.select("qid", "by_cas", "nq", "cq")
     compacts = near_pairs(q.select(F.col("cq").alias("l"), F.col("cq").alias("s")).distinct(),
                           texts.select(F.col("c").alias("r"), F.col("c").alias("t")).distinct(), 0.205)
@@ -105,7 +105,7 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
         .union(q.join(texts, q.nq == texts.n).select(own))
         .distinct()
     )
-    facts = _compared(pairs).select("qid", "by_cas", "n", "x")
+    facts = written(_compared(pairs).select("qid", "by_cas", "n", "x"), "facts")
     keyed = rows.select("row_id", "nname", "ncas", (F.size("numbers") > 0).alias("numbered"))
     side = lambda key, kind: facts.join(keyed.filter(F.col(key).isNotNull()), F.col("n") == F.col(key)).filter("not (by_cas and numbered)").select(
         "qid", "row_id", F.lit(kind).alias("kind"), "x"

@@ -66,3 +66,21 @@ def graded(reads: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new, and those of old whose key new doesn't have."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def run_summary(reads: DataFrame) -> DataFrame:
+    """One row for a run (reads: grade, ms, passes): reads, accept, reject, empty, hang, mean_ms, max_ms, mean_passes."""
+    n = lambda g: F.count_if(F.col("grade") == g)
+    return reads.agg(
+        F.count(F.lit(1)).alias("reads"), n("ACCEPT").alias("accept"), n("REJECT").alias("reject"), n("EMPTY").alias("empty"), n("HANG").alias("hang"),
+        F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), F.avg("passes").alias("mean_passes"),
+    )
+
+
+def run_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """n, before, after (grades), delta (percent by which the time changed, half up) of the reads (n, grade, ms) of two runs;
+    a read that only one run has is listed with nulls."""
+    a = before.select("n", F.col("grade").alias("before"), F.col("ms").alias("_a"))
+    b = after.select("n", F.col("grade").alias("after"), F.col("ms").alias("_b"))
+    delta = F.when(F.col("_a") > 0, F.floor(100.0 * (F.col("_b") - F.col("_a")) / F.col("_a") + 0.5).cast("bigint"))
+    return a.join(b, "n", "full").select("n", "before", "after", delta.alias("delta"))

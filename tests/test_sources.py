@@ -74,7 +74,40 @@ def test_streams(spark, tmp_path):
 
     assert {(x.name, x.n) for x in run(usage.daily_counts(stream), "complete", "daily")} == {("error", 4), ("view", 1)}
     assert max(x.n for x in run(usage.error_bursts(stream), "complete", "bursts")) == 4
-    reads = spark.createDataFrame([(1, 1, 0, "a", 50.0), (1, 2, 100, "a", 60.0), (1, 3, 200, "b", 99.0)], "scan_id long, read long, at_ms long, cas string, conf double")
-    reads.coalesce(1).write.parquet(str(tmp_path / "reads"))
-    stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "reads"))
-    assert [(x.scan_id, x.read, x.votes) for x in run(usage.live_votes(stream), "update", "votes", once=True)] == [(1, 2, 2)]
+    kind = "scan_id long, read long, at_ms long, cas array<string>, names array<string>, conf double"
+    data = [(1, 1, 0, ["a"], [], 50.0), (1, 2, 100, ["a", "b"], [], 60.0), (1, 3, 200, ["c"], ["x"], 99.0),
+            (2, 1, 0, [], ["permethrin"], 10.0), (2, 2, 5, ["a"], ["cypermethrin"], 9.0), (2, 3, 6, None, None, 99.0), (2, 4, 9000, [], ["zinc"], 1.0)]
+    for name, rows, want in (("one", data[:-1], {(1, 2, 2), (2, 1, 2)}), ("late", data, {(1, 2, 2), (2, 4, 1)})):
+        reads = spark.createDataFrame(rows, kind)
+        reads.coalesce(1).write.parquet(str(tmp_path / f"reads_{name}"))
+        stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / f"reads_{name}"))
+        assert {(x.scan_id, x.read, x.votes) for x in run(usage.live_votes(stream), "update", f"votes_{name}", once=True)} == want
+
+
+def test_pack_folders(spark, tmp_path):
+    root = str(tmp_path / "packs")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "name string, row long")
+    assert S.packs(spark, root) == [] and not S.remove_pack(spark, root, "x")
+    for name in ("canada", "australia"):
+        S.write_pack(rows, f"{root}/{name}", "open")
+    rows.write.mode("append").parquet(f"{root}/australia/body")
+    assert S.packs(spark, root) == ["australia", "canada"] and list(S.restore_packs(spark, root)) == ["canada"]
+    assert S.remove_pack(spark, root, "australia") and S.packs(spark, root) == ["canada"]
+
+
+def test_fingerprints_of_files(spark, tmp_path):
+    import hashlib
+
+    raw = b"\x00bytes\r\n"
+    (tmp_path / "f.bin").write_bytes(raw)
+    x = S.fingerprints(spark, str(tmp_path / "f.bin")).first()
+    assert (x.length, x.sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert S.verified(spark, str(tmp_path / "f.bin"), x.sha256) and not S.verified(spark, str(tmp_path / "f.bin"), "0") and S.verified(spark, str(tmp_path / "f.bin"), None)
+    assert S.load(spark, [str(tmp_path / "none.json"), str(tmp_path / "f.bin")])[1] == "unavailable"
+
+
+def test_review_export(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", "c", None, None), (1, "a", "", "ok", "fine")], "row long, name string, cas string, verdict string, note string")
+    S.review_export(rows, str(tmp_path / "review"))
+    back = spark.read.schema("row long, verdict string").json(str(tmp_path / "review"))
+    assert sorted((x.row, x.verdict) for x in back.collect()) == [(1, "ok"), (2, None)]
