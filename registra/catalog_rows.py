@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _DERIVED, _HITS, _SUM_OK, NO_CAS, SOURCES, derived_cas, query, register, table
+from .catalog import _DERIVED, _HITS, _SUM_OK, NO_CAS, SOURCES, asked, derived_cas, query, register, table
 from .functions import display as S
 from .functions import text as T
 from .operators import mining, search, usage
@@ -280,6 +280,11 @@ def latest_results(spark, d):
     return mining.latest(e, "user_id", "day").select("user_id", "event_id")
 
 
+@query(f"WITH {_HITS} SELECT qid, row_id, v, type FROM hits")
+def direct_scores(spark, d):
+    return search.direct_scores(asked(spark), register(spark, d))
+
+
 @query(f"WITH {_HITS} SELECT qid, row_id, v FROM hits ORDER BY v DESC, qid, row_id LIMIT 250")
 def report_sample(spark, d):
     from .catalog import found

@@ -46,18 +46,16 @@ def _asked(queries: DataFrame) -> DataFrame:
     return keyed.withColumn("cq", T.compact(F.col("nq")))
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    """Pairs (nq, cq; n, c: a text's keys) with what the rules need of them, computed once a pair of texts: equal,
-    partial (raw score of containment, or null), similar (raw score by edits, or null)."""
-    a, b = F.length("nq"), F.length("n")
+def _facts(nq: Column, cq: Column, n: Column, c: Column) -> Column:
+    """What the rules need of a query's and a text's keys: equal, partial (raw score of containment, or null), similar
+    (raw score by edits, or null); null for a null text."""
+    a, b = F.length(nq), F.length(n)
     ratio = F.least(a, b) / F.greatest(a, b, F.lit(1))
-    inside = (a >= 4) & (b >= 4) & (ratio >= 0.72) & (F.contains("n", "nq") | F.contains("nq", "n"))
-    longest = F.greatest(F.length("cq"), F.length("c"))
-    similar = 100 - F.levenshtein("cq", "c") / F.greatest(longest, F.lit(1)) * 100
-    facts = F.struct(
-        (F.col("nq") == F.col("n")).alias("equal"), F.when(inside, ratio * 96).alias("partial"), F.when(longest > 0, similar).alias("similar")
-    )
-    return pairs.withColumn("x", facts)
+    inside = (a >= 4) & (b >= 4) & (ratio >= 0.72) & (F.contains(n, nq) | F.contains(nq, n))
+    longest = F.greatest(F.length(cq), F.length(c))
+    similar = 100 - F.levenshtein(cq, c) / F.greatest(longest, F.lit(1)) * 100
+    facts = F.struct((nq == n).alias("equal"), F.when(inside, ratio * 96).alias("partial"), F.when(longest > 0, similar).alias("similar"))
+    return F.when(n.isNotNull(), facts)
 
 
 def _score(name: Column, cell: Column) -> Column:
@@ -105,7 +103,9 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
         .union(q.join(texts, q.nq == texts.n).select(own))
         .distinct()
     )
-    facts = written(_compared(pairs).select("qid", "by_cas", "n", "x"), "facts")
+    # The edit distance of two texts is computed once, however many rows have them.
+    compared = _facts(*[F.col(x) for x in ("nq", "cq", "n", "c")])
+    facts = written(pairs.select("qid", "by_cas", "n", compared.alias("x")), "facts")
     keyed = rows.select("row_id", "nname", "ncas", (F.size("numbers") > 0).alias("numbered"))
     side = lambda key, kind: facts.join(keyed.filter(F.col(key).isNotNull()), F.col("n") == F.col(key)).filter("not (by_cas and numbered)").select(
         "qid", "row_id", F.lit(kind).alias("kind"), "x"
@@ -122,6 +122,32 @@ def hits(queries: DataFrame, register: DataFrame, no_cas: tuple[str, ...] = ())
     return by_cas.unionByName(fuzzy).withColumn("candidate", flag)
 
 
+DIRECT = 1_000
+
+
+def direct_scores(queries: DataFrame, register: DataFrame) -> DataFrame:
+    """qid, row_id, v, type: every row's score of at least MIN_SCORE by the rules themselves, without any index: what the
+    indexed search is checked against. The queries, at most DIRECT, are written into the plan, so that each row meets
+    each of them in a map. Only a cell that is one plain identifier is compared as an identifier here."""
+    asked = queries.select("qid", "q").limit(DIRECT + 1).collect()
+    if len(asked) > DIRECT:
+        raise ValueError(f"more than {DIRECT} queries")
+    if not asked:
+        asked_as = F.array().cast("array<struct<qid:bigint,q:string>>")
+    else:
+        asked_as = F.array(*[F.struct(F.lit(x.qid).cast("bigint").alias("qid"), F.lit(x.q or "").alias("q")) for x in asked])
+    rows = indexed(register).withColumn("_a", F.explode(asked_as)).select("*", "_a.qid", F.col("_a.q").alias("q"))
+    nq = T.norm(F.col("q"))
+    rows = rows.withColumn("_nq", nq).withColumn("_cq", T.compact(F.col("_nq")))
+    fact = lambda n, c: _facts(F.col("_nq"), F.col("_cq"), F.col(n), F.col(c))
+    scored = rows.withColumn("_s", _score(fact("nname", "cname"), fact("ncas", "ccas")))
+    both = T.is_cas(F.col("q")) & T.is_cas(F.col("cas"))
+    same = F.trim("q") == F.trim("cas")
+    v = F.when(both, F.when(same, 100).otherwise(0)).otherwise(F.least("_s.v", F.lit(100)))
+    out = scored.select("qid", "row_id", v.cast("bigint").alias("v"), F.when(both, "cas").otherwise(F.col("_s.type")).alias("type"))
+    return out.filter(F.col("v") >= MIN_SCORE)
+
+
 def ranked(found: DataFrame, k: int, ranks: dict[str, int] = RANK) -> DataFrame:
     """The first k hits of each query by source priority, score, source order and row order."""
     order = Window.partitionBy("qid").orderBy(

@@ -259,12 +259,27 @@ def alert_lists(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("id").alias("list_id"), "label", F.col("s.name").alias("name"), F.col("s.cas").alias("cas"), F.coalesce("s.note", "nature").alias("note"))
 
 
+_ENTRY = "struct<i18nKey:string,transferredFrom:string,shapes:array<string>>"
+
+
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """section, code, key: the categories of a reference dictionary's sections."""
-    text = spark.read.option("wholetext", True).text(path)
-    kind = "struct<sections:map<string,struct<categories:map<string,string>,statusCodes:map<string,string>>>>"
-    parsed = text.select(F.explode(F.from_json("value", kind)["sections"]).alias("section", "x"))
-    return parsed.select("section", F.explode(F.map_concat(F.coalesce("x.categories", F.create_map().cast("map<string,string>")), F.coalesce("x.statusCodes", F.create_map().cast("map<string,string>")))).alias("code", "key"))
+    """section, kind (category, status, explanation), code, key (of the text), transferred (from another source's guide),
+    shapes (other spellings), descriptive (the section's cells are no codes) of a reference dictionary's sections. An
+    entry is an object, or the key alone."""
+    text = spark.read.text(path, wholetext=True)
+    lists = {"category": "categories", "status": "statusCodes", "explanation": "statusExplanations"}
+    kinds = ",".join(f"{v}:map<string,string>" for v in lists.values())
+    parsed = text.select(F.explode(F.from_json("value", f"struct<sections:map<string,struct<categoryKind:string,{kinds}>>>")["sections"]).alias("section", "x"))
+    none = F.create_map().cast("map<string,string>")
+    each = [F.transform(F.map_entries(F.coalesce(f"x.{v}", none)), lambda e, k=k: F.struct(F.lit(k).alias("kind"), e["key"].alias("code"), e["value"].alias("raw"))) for k, v in lists.items()]
+    rows = parsed.select("section", (F.coalesce("x.categoryKind", F.lit("")) == "descriptive").alias("descriptive"), F.explode(F.concat(*each)).alias("e"))
+    entry = F.from_json("e.raw", _ENTRY)
+    plain = ~F.startswith(F.ltrim("e.raw"), F.lit("{"))
+    return rows.select(
+        "section", "e.kind", "e.code", F.when(plain, F.col("e.raw")).otherwise(entry["i18nKey"]).alias("key"),
+        F.coalesce(~plain & entry["transferredFrom"].isNotNull(), F.lit(False)).alias("transferred"),
+        F.when(~plain, entry["shapes"]).alias("shapes"), "descriptive",
+    )
 
 
 def to_json_register(rows: DataFrame, key: str, limit: int = 1_000_000) -> str:

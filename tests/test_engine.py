@@ -144,6 +144,8 @@ def test_search_model(spark):
     got = {(x.qid, x.row_id): (x.v, x.type) for x in hits.collect()}
     want = {(i, r[0]): s for i, q in asked for r in rows if (s := model(q, r[4], r[5]))}
     assert got == want
+    direct = search.direct_scores(spark.createDataFrame(asked, "qid long, q string"), spark.createDataFrame([r for r in rows if r[5] != cells[4]], REGISTER))
+    assert {(x.qid, x.row_id): x.v for x in direct.collect()} == {(i, r[0]): s[0] for i, q in asked for r in rows if r[5] != cells[4] and (s := model(q, r[4], r[5]))}
     top = search.ranked(hits, 3).collect()
     assert all(x.pos <= 3 for x in top)
 

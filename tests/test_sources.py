@@ -111,3 +111,12 @@ def test_review_export(spark, tmp_path):
     S.review_export(rows, str(tmp_path / "review"))
     back = spark.read.schema("row long, verdict string").json(str(tmp_path / "review"))
     assert sorted((x.row, x.verdict) for x in back.collect()) == [(1, "ok"), (2, None)]
+
+
+def test_dictionary(spark, tmp_path):
+    told = {"sections": {"s": {"categoryKind": "codes", "categories": {"F": {"i18nKey": "cat.f", "shapes": ["F.", "f"]}, "M": {"i18nKey": "cat.m", "transferredFrom": "t"}, "Q": "cat.q"}, "statusCodes": {"REV": {"i18nKey": "st.rev"}}},
+                         "d": {"categoryKind": "descriptive", "statusExplanations": {"REV*": {"i18nKey": "ex.rev"}}}}}
+    (tmp_path / "d.json").write_text(json.dumps(told, indent=1))
+    got = {(x.section, x.kind, x.code): (x.key, x.transferred, x.shapes, x.descriptive) for x in S.dictionary(spark, str(tmp_path / "d.json")).collect()}
+    assert got == {("s", "category", "F"): ("cat.f", False, ["F.", "f"], False), ("s", "category", "M"): ("cat.m", True, None, False), ("s", "category", "Q"): ("cat.q", False, None, False),
+                   ("s", "status", "REV"): ("st.rev", False, None, False), ("d", "explanation", "REV*"): ("ex.rev", False, None, True)}
