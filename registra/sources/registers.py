@@ -271,7 +271,8 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     kinds = ",".join(f"{v}:map<string,string>" for v in lists.values())
     parsed = text.select(F.explode(F.from_json("value", f"struct<sections:map<string,struct<categoryKind:string,{kinds}>>>")["sections"]).alias("section", "x"))
     none = F.create_map().cast("map<string,string>")
-    each = [F.transform(F.map_entries(F.coalesce(f"x.{v}", none)), lambda e, k=k: F.struct(F.lit(k).alias("kind"), e["key"].alias("code"), e["value"].alias("raw"))) for k, v in lists.items()]
+    entry_of = lambda k: lambda e: F.struct(F.lit(k).alias("kind"), e["key"].alias("code"), e["value"].alias("raw"))
+    each = [F.transform(F.map_entries(F.coalesce(f"x.{v}", none)), entry_of(k)) for k, v in lists.items()]
     rows = parsed.select("section", (F.coalesce("x.categoryKind", F.lit("")) == "descriptive").alias("descriptive"), F.explode(F.concat(*each)).alias("e"))
     entry = F.from_json("e.raw", _ENTRY)
     plain = ~F.startswith(F.ltrim("e.raw"), F.lit("{"))
