@@ -257,6 +257,16 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable argsort of numbers from 0 on, 16 bits at a time, for which numpy has a radix sort."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    most, shift = int(x.max(initial=0)), 16
+    while most >> shift:
+        order = order[np.argsort((x[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
 class Shard:
     """Rows (positions) of a shard's contexts in suffix order, and the blocks before them.
 
@@ -282,14 +292,14 @@ class Shard:
             return np.where(at >= 0, rank[at], 0)
 
         def ranked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            key = a * (int(b.max(initial=0)) + 1) + b
-            order = np.argsort(key, kind="stable")
-            s = key[order]
-            out = np.empty(len(key), np.int64)
-            out[order] = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
+            order = stable_order(b)
+            order = order[stable_order(a[order])]
+            x, y = a[order], b[order]
+            out = np.empty(len(order), np.int64)
+            out[order] = np.cumsum(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)])
             return out, order
 
-        order = np.argsort(rank, kind="stable")
+        order = stable_order(rank)
         while 2 * depth <= SPAN // STRIDE:
             rank, order = ranked(rank, behind(rank, depth))
             depth *= 2
@@ -315,7 +325,7 @@ def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray
         before = np.empty(len(z), np.int32)
         for k, s in enumerate(shards):
             before[z == k] = s.before
-        order = np.argsort(before, kind="stable")
+        order = stable_order(before)
         z, before, group = z[order], before[order], group[order]
         new = np.ones(len(z), bool)
         new[1:] = (before[1:] != before[:-1]) | (group[1:] != group[:-1])
