@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, so that lineage stays short and lost executors cost a
     round at most. Minima are aggregated before they are joined back, so that a node with very many
-    edges is a skewed join, which Spark splits, and never one group in one task.
+    edges is a skewed join, which Spark splits, and never one group in one task. Edges with a null end, and of a
+    node to itself, count for nothing; repeated edges count once; a table without edges gives no rows.
     """
     flip = F.col("u") < F.col("v")
     e = edges.filter("u <> v").select(

@@ -14,7 +14,8 @@ Tokens are a text's words (A-Z lower-cased) and one end. The model predicts a to
   mini-batches with Adagrad steps on its copy of the weights; the tasks' updates are averaged row by row,
   weighted by how many tokens touched the row. All training documents are used, each in one round.
 
-The weights have a fixed size (HASH rows), and reach the driver; updates are averaged in two steps, so that no
+The weights have HASH rows, beyond TOKENS training tokens more: they grow with the fourth root of the tokens, and
+the words with a context code of their own with them, up to MOST_ROWS (100 MB). They reach the driver; updates are averaged in two steps, so that no
 group has a row from every task. Counts of all training words stay in a table, which grows with the corpus;
 only the most frequent, at most FREQUENT (a fixed number), are sent to the tasks, and the rest of the
 tokens are joined with the table. Words are counted by 64-bit hashes: the odds that any two of V different words
@@ -48,9 +49,10 @@ WIDE = 32
 HEAD = 31 * WIDE
 TAILS = 32
 CLASSES = 1 + HEAD // WIDE + TAILS
-CONTEXT = 4000  # words with a context code of their own
-START = CONTEXT + TAILS
+CONTEXT = 4000  # words with a context code of their own, for each HASH rows of weights
 HASH = 1 << 14
+#: Training tokens up to which there are HASH rows; beyond, rows grow with the fourth root of the tokens, in doublings.
+TOKENS, MOST_ROWS = 100_000_000, 1 << 18
 ROUNDS = 2
 BATCH = 1 << 14
 RATE = 0.2
@@ -106,6 +108,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("w").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
 
 
+def rows_for(tokens: int) -> int:
+    """Rows of weights for a corpus of so many training tokens."""
+    doublings = round(np.log2(max(tokens, TOKENS) / TOKENS) / 4)
+    return min(HASH << doublings, MOST_ROWS)
+
+
 class Vocabulary:
     """What tasks need of the training counts; ranks run by falling count, then hash."""
 
@@ -117,6 +125,9 @@ class Vocabulary:
         self.by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.by_hash]
         self.n, self.kinds, self.ends = n, kinds, ends
+        self.rows = rows_for(n)
+        self.context = CONTEXT * (self.rows // HASH)
+        self.start = self.context + TAILS
         self.space = n + 0.5 * (kinds + 1)
         self.unknown = 0.5 / self.space
         mass = np.array([masses.get(k, 0) for k in range(TAILS)], np.float64)
@@ -187,24 +198,25 @@ class Tokens:
         self.code[inside] = np.concatenate(docs) if docs else []
         code = self.code
         tail = np.where(code < 0, -1 - code, 0)
-        deep = (code >= CONTEXT) & (code < END)
+        deep = (code >= v.context) & (code < END)
         tail[deep] = v.tails[code[deep]]
-        far = (code >= HEAD) & (code < CONTEXT)
+        far = (code >= HEAD) & (code < v.context)
         tail[far] = v.tails[code[far]]
         self.tail = tail
-        context = np.where((code >= 0) & (code < CONTEXT), code, CONTEXT + tail).astype(np.int64)
-        context[self.ends] = START
-        one = np.concatenate([[START], context[:-1]])
-        two = np.concatenate([[START], one[:-1]])
+        context = np.where((code >= 0) & (code < v.context), code, v.context + tail).astype(np.int64)
+        context[self.ends] = v.start
+        one = np.concatenate([[v.start], context[:-1]])
+        two = np.concatenate([[v.start], one[:-1]])
         starts = np.concatenate([[0], self.ends[:-1] + 1])
-        two[starts] = START
+        two[starts] = v.start
+        self.v = v
         self.head = (code >= 0) & (code < HEAD)
         self.group = np.where(self.head, 1 + code // WIDE, np.where(code == END, 0, 1 + HEAD // WIDE + tail))
         self.one, self.two = one, two
 
     def contexts(self, at: np.ndarray, group: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct contexts at these places: keys, where each is first, and which of them each place has."""
-        key = (self.one[at] * (START + 1) + self.two[at]) * CLASSES + group
+        key = (self.one[at] * (self.v.start + 1) + self.two[at]) * CLASSES + group
         return np.unique(key, return_index=True, return_inverse=True)
 
     def features(self, at: slice | np.ndarray, group: np.ndarray | int = 0) -> list[np.ndarray]:
@@ -213,7 +225,7 @@ class Tokens:
         def row(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
             x = ((a * 8191 + b) * 64 + group) * 4 + kind
             x = (x * 0x9E3779B97F4A7C1) & 0x7FFFFFFFFFFFFFFF
-            return (x >> 40) & (HASH - 1)
+            return (x >> 40) & (self.v.rows - 1)
 
         zero = np.zeros_like(one)
         return [row(one, zero, 0), row(two, zero, 1), row(one, two, 2)]
@@ -297,7 +309,7 @@ def step(
     p *= times[:, None].astype(np.float32)
     np.subtract.at(p, (own, y), np.float32(1))
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
+        order = np.argsort(r.astype(np.uint16) if len(w) <= 1 << 16 else r, kind="stable")
         s = r[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         here = s[first]
@@ -309,17 +321,38 @@ def step(
         w[here] -= (RATE / np.sqrt(squares[here] + 1e-4))[:, None] * g
 
 
-def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Tokens]:
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, held_out, turn (the round that learns the document), codes (of its words, int32) and rare (hashes of the
+    words beyond the frequent ones, in order, int64), written: texts are cut and looked up once for all that follows."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    turn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)).cast("int")
+    rows = docs.select("doc_id", (~training()).alias("held_out"), turn.alias("turn"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = codes(sent.value)
+        for b in batches:
+            own = [words_of(t) for t in b.column("text").to_pylist()]
+            found, rare = memo.of(own), []
+            for code, words in zip(found, own, strict=True):
+                rare.append(word_hashes([words[i] for i in np.flatnonzero(code < 0).tolist()]).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("held_out"), b.column("turn"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(rare, pa.binary())],
+                ["doc_id", "held_out", "turn", "codes", "rare"],
+            )
+
+    return written(rows.mapInArrow(run, "doc_id long, held_out boolean, turn int, codes binary, rare binary"), "codes")
+
+
+def tokens_of(v: Vocabulary, batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Tokens]:
+    """Runs of whole documents with `least` tokens or more."""
     held, size = [], 0
     for b in batches:
-        texts = b.column("text").to_pylist()
-        for a in range(0, len(texts), 32):
-            for code in memo.of([words_of(t) for t in texts[a : a + 32]]):
-                held.append(code)
-                size += len(code) + 1
-                if size >= least:
-                    yield Tokens(v, held)
-                    held, size = [], 0
+        for raw in b.column("codes").to_pylist():
+            held.append(np.frombuffer(raw, np.int32))
+            size += len(held[-1]) + 1
+            if size >= least:
+                yield Tokens(v, held)
+                held, size = [], 0
     if held:
         yield Tokens(v, held)
 
@@ -327,12 +360,12 @@ def encoded(v: Vocabulary, memo: Codes, batches: Iterator[pa.RecordBatch], least
 SUMS = "part long, n binary, change binary, raw boolean"
 
 
-def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Weights over classes and over the words of head classes."""
-    spark = docs.sparkSession
+def train(coded: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Weights over classes and over the words of head classes, from encoded documents."""
+    spark = coded.sparkSession
     sent = spark.sparkContext.broadcast(v)
-    model = [np.zeros((HASH, CLASSES), np.float32), np.zeros((HASH, WIDE), np.float32)]
-    turn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS))
+    size = v.rows
+    model = [np.zeros((size, CLASSES), np.float32), np.zeros((size, WIDE), np.float32)]
     for number in range(ROUNDS):
         base = spark.sparkContext.broadcast(model)
 
@@ -341,9 +374,9 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
             v = sent.value
             w = [x.copy() for x in base.value]
-            squares = [np.zeros(HASH, np.float32) for _ in w]
-            touched = [np.zeros(HASH, np.float32) for _ in w]
-            for t in encoded(v, codes(v), batches, 8 * BATCH):
+            squares = [np.zeros(size, np.float32) for _ in w]
+            touched = [np.zeros(size, np.float32) for _ in w]
+            for t in tokens_of(v, batches, 8 * BATCH):
                 for a in range(0, len(t.code), BATCH):
                     at = np.arange(a, min(a + BATCH, len(t.code)))
                     _, first, own = t.contexts(at)
@@ -354,12 +387,12 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                         _, first, own = t.contexts(at, group)
                         step(w[1], squares[1], touched[1], t.features(at[first], group[first]), v.inner[group[first] - 1], own, t.code[at] % WIDE)
             for k in range(2):
-                for a in range(0, HASH, ROWS):
+                for a in range(0, size, ROWS):
                     n = touched[k][a : a + ROWS]
                     if n.any():
                         change = w[k][a : a + ROWS] - base.value[k][a : a + ROWS]
                         yield pa.RecordBatch.from_pydict(
-                            {"part": [k * HASH + a], "some": [TaskContext.get().partitionId() >> 7], "n": [n.astype(np.float64).tobytes()],
+                            {"part": [k * size + a], "some": [TaskContext.get().partitionId() >> 7], "n": [n.astype(np.float64).tobytes()],
                              "change": [change.astype(np.float16).tobytes()], "raw": [True]}
                         )
 
@@ -373,12 +406,12 @@ def train(docs: DataFrame, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
                 change = change + x
             return pa.Table.from_pydict({"part": [key[0].as_py()], "n": [n.tobytes()], "change": [change.tobytes()], "raw": [False]})
 
-        here = docs.filter(training() & (turn == number)).select("text")
+        here = coded.filter(~F.col("held_out") & (F.col("turn") == number)).select("codes")
         parts = here.mapInArrow(walk, "part long, some long, n binary, change binary, raw boolean")
         summed = parts.groupBy("part", "some").applyInArrow(total, SUMS).groupBy("part").applyInArrow(total, SUMS)
         model = [x.copy() for x in model]
         for x in summed.collect():
-            k, a = divmod(x.part, HASH)
+            k, a = divmod(x.part, size)
             n = np.maximum(np.frombuffer(x.n, np.float64), 1e-9)
             model[k][a : a + ROWS] += (np.frombuffer(x.change, np.float64).reshape(ROWS, -1) / n[:, None]).astype(np.float32)
     return model[0], model[1]
@@ -421,14 +454,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learned = rows.filter(training())
     counts = written(count_words(learned), "words")
     v = vocabulary(counts, learned.count())
-    weights = train(rows, v)
+    coded = encode(rows, v)
+    weights = train(coded, v)
     sent, model = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, (outer, inner) = sent.value, model.value
-        memo, row = codes(v), TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         known = np.log10((v.counts + 0.5) / v.space)
         share = np.log10(np.maximum(v.counts, 1) / v.mass[v.tails]) if len(v.counts) else known
         # Tokens beyond the frequent ones may be unknown: their parts are settled after the join.
@@ -436,10 +470,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
         rest = np.log10(1 - v.unknown) if v.unknown < 1 else 0.0
         log = np.log10(np.e)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for a in range(0, len(texts), TOGETHER):
-                own = [words_of(t) for t in texts[a : a + TOGETHER]]
-                t = Tokens(v, memo.of(own))
+            found, far = b.column("codes").to_pylist(), b.column("rare").to_pylist()
+            for a in range(0, len(found), TOGETHER):
+                own = [np.frombuffer(x, np.int32) for x in found[a : a + TOGETHER]]
+                t = Tokens(v, own)
                 n = len(t.code)
                 lm = log_shares(outer, t, np.arange(n), 0, v.prior, t.group) * np.float64(log)
                 head = np.flatnonzero(t.head)
@@ -472,7 +506,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 where = np.flatnonzero(rare)
                 if len(where):
                     doc = np.searchsorted(t.ends, where)
-                    hashes = word_hashes([own[d][i] for d, i in zip(doc.tolist(), (where - starts[doc]).tolist(), strict=True)])
+                    hashes = np.frombuffer(b"".join(far[a : a + TOGETHER]), np.int64)
                     order = np.lexsort((hashes, doc))
                     doc, hashes, part = doc[order], hashes[order], lm[where][order]
                     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]))
@@ -485,7 +519,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     )
                 row += size
 
-    scored = written(rows.withColumn("held_out", ~training()).mapInArrow(score, OUT), "scores")
+    scored = written(coded.mapInArrow(score, OUT), "scores")
     rare = scored.filter("w IS NOT NULL").select("row", "w", "n", "lm")
     found = rare.join(counts.select("w", "c"), "w", "left")
     count = F.coalesce("c", F.lit(0))

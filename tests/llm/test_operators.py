@@ -508,17 +508,17 @@ def test_language_model_score(spark, docs, rows):
     counts = maxent_lm.count_words(learned).cache()
     v = maxent_lm.vocabulary(counts, learned.count())
     count = {x.w: x.c for x in counts.collect()}
-    outer, inner = maxent_lm.train(docs.select("doc_id", "text"), v)
+    outer, inner = maxent_lm.train(maxent_lm.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), v), v)
     order = sorted(count, key=lambda w: (-count[w], w))
     rank = {w: k for k, w in enumerate(order)}
-    m, start = maxent_lm, maxent_lm.START
+    m, start = maxent_lm, v.start
     got = by_id(m.score_documents(docs))
 
     def rows_of(one, two, group):
         out = []
         for a, b, kind in ((one, 0, 0), (two, 0, 1), (one, two, 2)):
             x = (((a * 8191 + b) * 64 + group) * 4 + kind) * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF
-            out.append(x >> 40 & m.HASH - 1)
+            out.append(x >> 40 & v.rows - 1)
         return out
 
     def share(w, bias, one, two, group, y):
@@ -541,11 +541,36 @@ def test_language_model_score(spark, docs, rows):
                     want += share(inner, v.inner[group - 1], one, two, group, at % m.WIDE)
                 elif word is not None:
                     want += math.log(count[h] / v.mass[tail])
-            code = start if word is None else at if at is not None and at < m.CONTEXT else m.CONTEXT + tail
+            code = start if word is None else at if at is not None and at < v.context else v.context + tail
             one, two = code, one
         assert math.isclose(got[k].score, want / math.log(10), rel_tol=1e-4, abs_tol=1e-3)
 
 
+def test_rows_grow():
+    rows = [maxent_lm.rows_for(n) for n in (0, 10**8, 6 * 10**9, 10**11, 10**14, 10**20)]
+    assert rows == [1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 18, 1 << 18]
+
+
+def test_larger_model(spark, docs, monkeypatch):
+    """Rows beyond 16 bits train and score alike."""
+    learned = docs.filter(maxent_lm.training())
+    v = maxent_lm.vocabulary(maxent_lm.count_words(learned).cache(), learned.count())
+    memo = maxent_lm.Codes(v)
+    code = memo.of([maxent_lm.words_of(t) for t in texts() if t])
+    out = []
+    for rows in (1 << 14, 1 << 17):
+        v.rows = rows
+        t = maxent_lm.Tokens(v, code)
+        w, squares, touched = np.zeros((rows, maxent_lm.CLASSES), np.float32), np.zeros(rows, np.float32), np.zeros(rows, np.float32)
+        at = np.arange(len(t.code))
+        for _ in range(3):
+            _, first, own = t.contexts(at)
+            maxent_lm.step(w, squares, touched, t.features(at[first]), v.prior, own, t.group[at])
+        out.append(maxent_lm.log_shares(w, t, at, 0, v.prior, t.group).mean())
+        assert touched.sum() == 9 * len(at)
+    assert abs(out[0] - out[1]) < 0.5 and min(out) > v.prior[t.group].mean()
+
+
 def test_most_frequent_is_bounded(spark):
     """However many words have the top count, or one count."""
     for count in ("1", "5000", "id % 7 + 1", "id + 1"):
@@ -564,7 +589,7 @@ def test_language_model_sums_to_one(spark, docs):
     counts = maxent_lm.count_words(learned).cache()
     v = maxent_lm.vocabulary(counts, learned.count())
     assert isinstance(v, vocabulary)
-    w = maxent_lm.train(docs.select("doc_id", "text"), v)
+    w = maxent_lm.train(maxent_lm.encode(docs.select("doc_id", "text"), v), v)
     t = maxent_lm.Tokens(v, [np.array([3, 1], np.int32)])
     outer = np.exp(maxent_lm.softmax(w[0], t.features(slice(2, 3)), v.prior))[0]
     total = outer[0]
@@ -787,3 +812,15 @@ def test_segment_sums():
     x = rng.integers(0, 100, (n.sum(), 5)).astype(np.float32)
     want = np.add.reduceat(x, first, axis=0)
     assert (maxent_lm.segment_sums(x.copy(), first, n) == want).all()
+
+
+def test_components(spark):
+    """Chains, a star, repeated edges, loops and null ends, and no edges at all."""
+    from registra.llm.components import components
+
+    edges = [(k, k + 1) for k in range(20, 60)] + [(500, k) for k in range(501, 560)] + [(3, 2), (2, 3), (3, 2), (9, 9), (None, 4), (7, None), (-5, 2)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {x.u: x.root for x in components(df).collect()}
+    want = {k: 20 for k in range(20, 61)} | {k: 500 for k in range(500, 560)} | {3: -5, 2: -5, -5: -5}
+    assert {k: got.get(k, k) for k in want} == want and not {9, 4, 7} & {k for k, r in got.items() if k != r}
+    assert components(df.limit(0)).count() == 0
