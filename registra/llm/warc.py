@@ -82,22 +82,21 @@ def member(kind: str, page: int | None, url: str | None, payload: bytes, digest:
 
 def write_warc(pages: DataFrame, path: str) -> DataFrame:
     """Archive pages (page_id, url, html) under path; eager. The files written: name, records."""
-    from .common import prepare
+    from .common import prepare, written
 
     spark = prepare(pages.sparkSession, 256)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint"), "url", "html").withColumns(
         {"digest": F.sha2(payload, 256), "bytes": F.octet_length(payload).cast("bigint")}
     )
-    first = (
-        rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    )
-    joined = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = joined.withColumn("refers", F.when(revisit, F.col("first"))).withColumn(
-        "html", F.when(~revisit, F.col("html"))
-    )
+    # Which records revisit is found without payloads and met by (id, digest), so that a page that very many records have
+    # is spread by their ids when the payloads move.
+    known = written(rows.filter(F.col("bytes") >= REVISIT_BYTES).select("page_id", "digest"), "digests")
+    first = known.groupBy("digest").agg(F.min("page_id").alias("refers"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = known.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers"))).distinct()
+    again = again.select(F.col("page_id").alias("p_"), F.col("digest").alias("d_"), "refers")
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("p_")) & (F.col("digest") == F.col("d_")), "left").drop("p_", "d_")
+    joined = joined.withColumn("html", F.when(F.col("refers").isNull(), F.col("html")))
     joined = joined.select("page_id", "url", "html", "digest", "bytes", "refers")
 
     def write(batches):
