@@ -44,7 +44,7 @@ SPAN = 100
 GRAM = 32
 STRIDE = 25
 CHUNK = 1 << 20  # bytes hashed at a time
-BUCKET = 1 << 21  # bytes of contexts in a bucket
+BUCKET = 1 << 20  # bytes of contexts in a bucket
 SHARDS = 4
 DEEP = 1_000  # entries of an anchor
 COMMON = 8  # occurrences in a chunk that make a context worth remembering
