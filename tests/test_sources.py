@@ -120,3 +120,24 @@ def test_dictionary(spark, tmp_path):
     got = {(x.section, x.kind, x.code): (x.key, x.transferred, x.shapes, x.descriptive) for x in S.dictionary(spark, str(tmp_path / "d.json")).collect()}
     assert got == {("s", "category", "F"): ("cat.f", False, ["F.", "f"], False), ("s", "category", "M"): ("cat.m", True, None, False), ("s", "category", "Q"): ("cat.q", False, None, False),
                    ("s", "status", "REV"): ("st.rev", False, None, False), ("d", "explanation", "REV*"): ("ex.rev", False, None, True)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A cluster must name the folder; in one machine a temporary one does. Scratch tables go when they are released."""
+    from types import SimpleNamespace
+
+    from registra.plans import shared
+
+    fake = lambda master, found: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: found), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared.shared_dir(fake(master, None))
+        assert shared.shared_dir(fake(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared.shared_dir(fake("local[4]", None)).startswith("file:")
+    before = shared.held()
+    a, b = (shared.written(spark.range(n), "test") for n in (3, 4))
+    assert len(shared.held()) == len(before) + 2 and a.count() == 3
+    shared.release(spark, before, keep=(b.scratch_path,))
+    assert shared.held() == [*before, b.scratch_path] and b.count() == 4
+    shared.release(spark, before)
+    assert shared.held() == before
