@@ -332,6 +332,21 @@ def near_pairs(spark, d):
     return D.near_names(names.withColumn("cas", derived_cas(F.col("id"))))
 
 
+@query(
+    f"""WITH {_REG}, k AS (SELECT row_id AS id, replace(name, ' ', '') AS n, CASE WHEN regexp_matches(cas, '\\d{{2,7}}-\\d{{2}}-\\d') THEN cas ELSE 'none' END AS sig FROM reg),
+d AS (SELECT n, min(id) AS class FROM k GROUP BY n),
+p AS (SELECT a.n AS x, b.n AS y, greatest(length(a.n), length(b.n)) AS m, least(length(a.n), length(b.n)) AS l FROM d a, d b),
+t AS (
+  SELECT x, y FROM p WHERE x = y OR l >= 4 AND (contains(x, y) OR contains(y, x)) AND l / m::DOUBLE >= 0.72
+    OR m >= 8 AND levenshtein(x, y) <= floor(m * 0.2) AND floor(100 - levenshtein(x, y) / m::DOUBLE * 100 + 0.5) >= 80
+), c AS (SELECT n, sig, count(*) AS same FROM k GROUP BY n, sig)
+SELECT k.id, d.class, CAST(coalesce((SELECT sum(same) FROM t JOIN c ON c.n = t.y WHERE t.x = k.n AND c.sig <> k.sig), 0) AS BIGINT) AS links FROM k JOIN d USING (n)"""
+)
+def near_name_links(spark, d):
+    """Every row of the register with its class and its number of links."""
+    return D.near_links(register(spark, d).select(F.col("row_id").alias("id"), "name", "cas"))
+
+
 @query(f"SELECT {_DERIVED.format('l_suppkey')} AS cas, count(DISTINCT l_partkey) AS names, count(*) AS refs FROM lineitem GROUP BY l_suppkey")
 def shared_identifier(spark, d):
     rows = table(spark, d, "lineitem").select(derived_cas(F.col("l_suppkey")).alias("cas"), F.concat(F.lit("Part "), "l_partkey").alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..plans.fuzzy import near_pairs
+from ..plans.shared import written
 
 #: The sources that the plain mode shows.
 HOME = ("libya-248", "libya-500")
@@ -209,14 +210,17 @@ def dissected_status(source: Column, status: Column, raw: Column, expiry: Column
     return F.struct(F.get(cut, F.lit(0)).alias("key"), F.get(cut, F.lit(1)).alias("tone"))
 
 
-def near_names(rows: DataFrame) -> DataFrame:
-    """rows: id, name, cas. Pairs a < b of different identifiers whose names are equal, contain one another
-    (0.72 of the length at least) or are within a fifth of the longer name's edits: a, b, type, v."""
-    keyed = rows.filter(F.coalesce("name", F.lit("")) != "").select(
+def _named(rows: DataFrame) -> DataFrame:
+    """id, n (the compact name), sig (the identifiers) of rows (id, name, cas) that have a name."""
+    return rows.filter(F.coalesce("name", F.lit("")) != "").select(
         "id", T.compact(T.norm(F.col("name"))).alias("n"),
         F.coalesce(F.nullif(F.array_join(T.cas_numbers(F.col("cas")), ","), F.lit("")), F.lit("none")).alias("sig"),
     )
-    texts = keyed.select("n").distinct()
+
+
+def _near_texts(texts: DataFrame) -> DataFrame:
+    """Distinct compact names (n) to pairs l, r (both ways, and each with itself) that are equal, contain one another
+    (0.72 of the length at least) or are within a fifth of the longer name's edits: l, r, type, v."""
     # A name inside one that is at most 1 / 0.72 times as long is within 0.28 of the longer one's edits.
     pairs = near_pairs(texts.select(F.col("n").alias("l"), F.col("n").alias("s")), texts.select(F.col("n").alias("r"), F.col("n").alias("t")), 0.28)
     longest, least = F.greatest(F.length("l"), F.length("r")), F.least(F.length("l"), F.length("r"))
@@ -225,10 +229,31 @@ def near_names(rows: DataFrame) -> DataFrame:
     edits = F.levenshtein(F.col("l"), F.col("r"))
     v = T.js_round(100 - edits / longest * 100)
     fuzzy = (longest >= 8) & (edits <= most) & (v >= 80)
-    pairs = pairs.select(
+    return pairs.select(
         "l", "r",
         F.when(F.col("l") == F.col("r"), "same-name").when(inside, "containment").when(fuzzy, "fuzzy").alias("type"),
         F.when(F.col("l") == F.col("r"), F.lit(100).cast("bigint")).when(inside, T.js_round(least / longest * 96)).otherwise(v).alias("v"),
     ).filter("type IS NOT NULL")
+
+
+def near_names(rows: DataFrame) -> DataFrame:
+    """rows: id, name, cas. Pairs a < b of different identifiers whose names are near: a, b, type, v. Every pair is a row,
+    so that rows should be classes' representatives (one for each name and identifier, say); near_links tells the rest."""
+    keyed = _named(rows)
+    pairs = _near_texts(keyed.select("n").distinct())
     a, b = keyed.toDF("a", "l", "sa"), keyed.toDF("b", "r", "sb")
     return a.join(pairs, "l").join(b, "r").filter("a < b and sa <> sb").select("a", "b", "type", "v")
+
+
+def near_links(rows: DataFrame) -> DataFrame:
+    """id, class (the smallest id with the same compact name), links: of every row with a name how many rows have a near
+    name and other identifiers. Names are paired, rows counted, so that a name that very many rows have is no pairs."""
+    keyed = written(_named(rows), "named")
+    names = keyed.groupBy("n").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("all"))
+    own = keyed.groupBy("n", "sig").agg(F.count(F.lit(1)).alias("same"))
+    near = written(_near_texts(names.select("n")).select("l", "r"), "near")
+    total = near.join(names.select(F.col("n").alias("r"), "all"), "r").groupBy(F.col("l").alias("n")).agg(F.sum("all").alias("total"))
+    alike = near.join(own.select(F.col("n").alias("r"), "sig", "same"), "r").groupBy(F.col("l").alias("n"), "sig").agg(F.sum("same").alias("alike"))
+    out = keyed.join(names.select("n", "class"), "n").join(total, "n", "left").join(alike, ["n", "sig"], "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select("id", "class", (F.coalesce("total", zero) - F.coalesce("alike", zero)).alias("links"))

@@ -238,6 +238,20 @@ def test_registers(spark):
     assert sorted((x.n, x.v) for x in up.collect()) == [(1, "old"), (2, "new")]
 
 
+def test_near_links(spark):
+    """Counts without pairs against all pairs of rows, with repeated names and identifiers."""
+    rng = random.Random(2)
+    base = ["glyphosate", "glyphosat", "glyphosate x", "captan", "captans", "zineb", "carbofuran", "carbofurane"]
+    rows = [(k, rng.choice(base), rng.choice(["50-00-0", "64-17-5", "", "see note"])) for k in range(60)] + [(90, None, "50-00-0"), (91, "", "")]
+    df = spark.createDataFrame(rows, "id long, name string, cas string")
+    got = {x.id: (x["class"], x.links) for x in D.near_links(df).collect()}
+    pairs = [(x.a, x.b) for x in D.near_names(df).collect()]
+    want = {k: sum(k in p for p in pairs) for k, n, _ in rows if n}
+    assert {k: n for k, (_, n) in got.items()} == want and len(pairs) > 50
+    names = {k: n for k, n, _ in rows if n}
+    assert all(c == min(j for j, m in names.items() if m == names[k]) for k, (c, _) in got.items())
+
+
 def test_verdicts(spark):
     """Index hits and search hits are judged, lines by themselves, heads before brackets too."""
     rows = [(0, "eu", 0, 0, "2,4-D ((2,4-dichlorophenoxy) acetic acid)", "94-75-7", "ok", "1"), (1, "eu", 0, 1, "glyphosate\nround up", "", "ok", "1"),
