@@ -153,12 +153,15 @@ def ban_flags(found: DataFrame) -> DataFrame:
 
 
 def shared_identifiers(register: DataFrame) -> DataFrame:
-    """cas, names, refs: identifiers with the distinct names and the references that they have."""
+    """cas, names, refs: identifiers with the distinct names and the references that they have. Equal rows are counted
+    before their cells are read."""
+    once = register.groupBy("cas", "name").agg(F.count(F.lit(1)).alias("_refs"))
     cell = F.trim(F.coalesce("cas", F.lit("")))
-    rows = register.filter((cell != "") & ~cell.rlike("(?i)see |no cas|remark|note"))
-    each = rows.select(F.explode(F.split(cell, r"[\n\[\]]")).alias("c"), F.lower(F.trim("name")).alias("n"))
-    each = each.select(F.trim("c").alias("cas"), "n").filter(F.col("cas").rlike(T.CAS))
-    return each.groupBy("cas").agg(F.countDistinct("n").alias("names"), F.count(F.lit(1)).alias("refs"))
+    rows = once.filter((cell != "") & ~cell.rlike("(?i)see |no cas|remark|note"))
+    each = rows.select(F.explode(F.split(cell, r"[\n\[\]]")).alias("c"), F.lower(F.trim("name")).alias("n"), "_refs")
+    each = each.select(F.trim("c").alias("cas"), "n", "_refs").filter(F.col("cas").rlike(T.CAS))
+    per = each.groupBy("cas", "n").agg(F.sum("_refs").alias("_refs"))
+    return per.groupBy("cas").agg(F.count("n").alias("names"), F.sum("_refs").alias("refs"))
 
 
 def match_kinds(found: DataFrame, queries: DataFrame, shared: DataFrame) -> DataFrame:
