@@ -281,6 +281,15 @@ def test_verdicts(spark):
     assert got == {(1, 0): "exact", (2, 1): "exact", (2, 2): "probable", (5, 4): "similar"}
 
 
+@pytest.mark.parametrize(("other", "shared"), [("cold anvil", True), ("COLD WIDGET", False)])
+def test_match_kind_of_a_shared_number(spark, tmp_path, other, shared):
+    """Both keys derive 1019-32-2. A number that several names have is told of a match of any kind but a candidate."""
+    parts = [(1932, "cold widget", "b", 1), (919032, other, "b", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(x.qid, x.row_id): (x.kind, x.shared) for x in catalog.match_kind(spark, str(tmp_path)).collect()}
+    assert (got[1, 1932], got[3, 1932]) == (("partial", shared), ("name", shared))
+
+
 def test_reads(spark):
     """From passes to a read's merged results, its scores and its best pass."""
     rows = [(0, "eu", 0, 0, "captan", "133-06-2", "ok", "1"), (1, "epa", 1, 1, "folpet", "133-07-3", "ok", "1"), (2, "eu", 0, 2, "captanol", "", "ok", "1")]
